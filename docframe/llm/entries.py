@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docframe.llm import bpe, packing, token_store
+from docframe.llm import bpe, packing, quality, simhash, sketch, token_store, toxicity
 from docframe.llm.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +32,25 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(_read(spark, sf_dir, "documents"), shingle=3, seed=42, radius=2)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op9_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketch.fingerprint_documents(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", sketch.as_text(F.col("sketch")).alias("fingerprint"), sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", "distinct_estimate", "kept_share")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_token_store, op2_packing, op3_bpe]
+    found = [op1_token_store, op2_packing, op3_bpe, op7_simhash, op8_quality, op9_sketch, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
