@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import bpe, html_tree, media, packing, quality, simhash, sketch, token_store, toxicity
+from docframe.llm import bpe, context_mixing, html_tree, media, packing, quality, simhash, sketch, token_store, toxicity
 from docframe.llm.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read(media.store(_read(spark, sf_dir, "documents")), tensors=False)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_read(spark, sf_dir, "documents"), shingle=3, seed=42, radius=2)
 
@@ -58,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_store, op2_packing, op3_bpe, op4_html, op5_media, op7_simhash, op8_quality, op9_sketch, op10_toxicity]
+    found = [op1_token_store, op2_packing, op3_bpe, op4_html, op5_media, op6_mixing, op7_simhash, op8_quality, op9_sketch, op10_toxicity]
     return {f.__name__: f for f in found}
 
 

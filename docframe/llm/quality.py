@@ -149,3 +149,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, most_labelled: int =
 
     found = texts_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id"), MODULUS, REMAINDER).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 8000, most_unlabelled: int = 8000) -> DataFrame:
+    """The rows of docs, with all their columns, that are predicted good."""
+    model = fit(docs, labels, most_labelled, most_unlabelled)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in text_chunks(batch):
+                score = model.score(np.array([features(t) for t in texts], dtype=np.float64))
+                yield batch.slice(first, len(texts)).filter(pa.array(score >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -253,3 +253,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, most_labelled: int =
 
     found = texts_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id"), MODULUS, REMAINDER).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 16000) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted toxic."""
+    model = fit(docs, labels, most_labelled)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inputs = WordInputs(model.odds)
+        for batch in batches:
+            for first, texts in text_chunks(batch, most=400_000):
+                yield batch.slice(first, len(texts)).filter(pa.array(model.score(texts, inputs) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
