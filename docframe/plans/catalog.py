@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from docframe.functions import text as tx
 from docframe.operators import chunks, corpus, edit_log, layout, provenance, search
 from docframe.registry import query
-from docframe.sources import detect
+from docframe.sources import detect, readers
+from docframe.streaming import flows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -386,3 +387,46 @@ SELECT o_orderkey, CASE WHEN d < 60 THEN strftime(DATE '1899-12-30' + CAST(d + 1
 """)
 def serial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.date_of_serial((F.col("o_orderkey") % 60000).cast("double")).alias("day_text"))
+
+
+# ---- events, and pages as blocks
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = flows.windowed(table(spark, sf_dir, "events"))
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""
+WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+numbered AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM numbered GROUP BY user_id, s
+""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = flows.sessions(table(spark, sf_dir, "events"))
+    return found.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+@query(CHUNK_SQL + """
+SELECT doc_id, CAST(seq AS INTEGER) AS seq, type, CAST(token_count AS INTEGER) AS token_count FROM (
+  SELECT doc_id, 0 AS seq, 'header' AS type, 0 AS token_count FROM documents
+  UNION ALL SELECT doc_id, chunk_id + 1, 'chunk', token_count FROM chunks
+  UNION ALL SELECT d.doc_id, coalesce(c.n, 0) + 1, 'footer', coalesce(c.t, 0) FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(token_count) AS t FROM chunks GROUP BY doc_id) c ON c.doc_id = d.doc_id)
+""")
+def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.ingest_records(table(spark, sf_dir, "documents"), 120, 20).select("doc_id", "seq", "type", "token_count")
+
+
+@query("SELECT page_id, 1 AS level, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', chr(34)), '&lt;', '<'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages")
+def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.html_blocks(table(spark, sf_dir, "pages"), "html", "page_id").filter("kind = 'heading'").select("page_id", "level", "text")
+
+
+@query("""
+SELECT doc_id, block, kind, level, text FROM (
+  SELECT doc_id, CAST(0 AS INTEGER) AS block, 'paragraph' AS kind, 0 AS level, array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), ' ') AS text FROM documents WHERE NOT regexp_matches(text, '(?m)^\\s{0,3}(?:#|>|[-*+=_|~`]|[0-9])') AND NOT regexp_matches(text, '\\n\\s*\\n'))
+""")
+def markdown_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown reader on documents without any mark at a line's start: one paragraph each."""
+    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"(?m)^\s{0,3}(?:#|>|[-*+=_|~`]|[0-9])") & ~F.col("text").rlike(r"\n\s*\n"))
+    return readers.markdown_blocks(docs)
