@@ -8,7 +8,7 @@ and steps back if none is. Dead positions are marked, so a word takes linear tim
 kept by its text, within a bound.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; special tokens' strings
-in a text become their ids, as the library does; repeated rows give equal rows; other columns are ignored.
+in a text become their ids, as the library does; code points that Unicode assigned only lately may count as letters here and not there; repeated rows give equal rows; other columns are ignored.
 """
 
 from __future__ import annotations
