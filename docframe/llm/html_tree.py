@@ -4,7 +4,7 @@ The pages of a host are merged into one tree: a node is a path of block elements
 many different pages have it, the distribution of its child sequences (presentation) and of its texts (content) over pages. A node
 whose texts recur on every page has high entropies and low content importance; one with many presentations is
 important as such. Composite importance goes from the leaves up: (1 - DAMP^n) of the node's own presentation
-importance, DAMP^n of its n children's. Branches below LEAST are removed from each page of the host.
+importance, DAMP^n of its n children's. Branches whose nodes are all below LEAST are removed from each page of the host.
 
 What is noise by name on any site is never put into the tree: menus, headers outside an article, footers, sidebars, notices,
 adverts, forms, scripts, styles, hidden elements and reader comments. If a page has an article (or main) element with text, only
@@ -185,6 +185,7 @@ def _composite(nodes: pd.DataFrame) -> pd.DataFrame:
     for path in own:
         children.setdefault(path.rpartition("/")[0], []).append(path)
     found: dict[str, float] = {}
+    noise: dict[str, bool] = {}  # low itself, and with it all below
     for path in sorted(own, key=lambda p: -p.count("/")):
         shape, text = own[path]
         below = [found[c] for c in children.get(path, []) if c in found]
@@ -194,7 +195,8 @@ def _composite(nodes: pd.DataFrame) -> pd.DataFrame:
             found[path] = (1 - weight) * (0.0 if math.isnan(shape) else shape) + weight * sum(parts) / len(parts)
         else:
             found[path] = parts[0] if parts else 1.0
-    return pd.DataFrame({"host": [host], "low": [sorted(p for p, v in found.items() if v < LEAST)]})
+        noise[path] = found[path] < LEAST and all(noise[c] for c in children.get(path, []))
+    return pd.DataFrame({"host": [host], "low": [sorted(p for p, low in noise.items() if low)]})
 
 
 def site_rules(pages: DataFrame) -> DataFrame:
