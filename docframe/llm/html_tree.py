@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from docframe.llm.shared import materialize
 
-DAMP, LEAST, LEAST_PAGES, SALTS = 0.9, 0.25, 8, 16
+DAMP, LEAST, LEAST_PAGES, SALTS = 0.9, 0.15, 8, 16
 DEEPEST = 256
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
