@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.functions import text as tx
-from docframe.operators import chunks, corpus, edit_log, layout, provenance, search
+from docframe.functions.accents import normalize_diacritics
+from docframe.functions.formulas import is_formula, math_signs, to_latex
+from docframe.operators import chunks, corpus, edit_log, layout, provenance, search, typeset
 from docframe.registry import query
 from docframe.sources import detect, readers
 from docframe.streaming import flows
@@ -430,3 +432,39 @@ def markdown_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Markdown reader on documents without any mark at a line's start: one paragraph each."""
     docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"(?m)^\s{0,3}(?:#|>|[-*+=_|~`]|[0-9])") & ~F.col("text").rlike(r"\n\s*\n"))
     return readers.markdown_blocks(docs)
+
+
+# ---- typesetting, accents, formulas
+
+@query("""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS words FROM documents)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS words, CAST(sum(length(x)) AS BIGINT) AS letters FROM (SELECT doc_id, words, unnest(words) AS x FROM w) GROUP BY doc_id, words
+""")
+def typeset_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents set on pages: no word is lost or added."""
+    found = typeset.typeset(readers.text_blocks(table(spark, sf_dir, "documents")))
+    words = found.select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+    return words.groupBy("doc_id").agg(F.count("*").alias("words"), F.sum(F.length("w")).alias("letters"))
+
+
+@query()
+def typeset_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks, set on pages and found again by the layout operators."""
+    return layout.blocks(typeset.typeset(readers.markdown_blocks(table(spark, sf_dir, "documents"))))
+
+
+@query("SELECT doc_id, block, length(text) - length(regexp_replace(text, '[=+<>×·±÷]', '', 'g')) AS signs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS block FROM documents) WHERE length(text) - length(regexp_replace(text, '[=+<>×·±÷]', '', 'g')) >= 2")
+def formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).filter(is_formula(F.col("text"))).select("doc_id", "block", math_signs(F.col("text")).cast("long").alias("signs"))
+
+
+@query()
+def formula_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", "block", to_latex(F.col("text")).alias("latex"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE NOT regexp_matches(text, '[´`^ˆ¨~˜¸ˇ˘˙˚˝˛¯]')")
+def folded_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without accents apart are left as they are."""
+    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[´`^ˆ¨~˜¸ˇ˘˙˚˝˛¯]"))
+    return docs.select("doc_id", normalize_diacritics(F.col("text")).alias("text"))

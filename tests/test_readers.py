@@ -95,3 +95,24 @@ def test_tables_of_documents(spark, tmp_path):
     assert {r["text"] for r in sinks.read_document(spark, str(tmp_path / "t"), "blocks", 0).collect()} == {"a", "b"}
     old = spark.createDataFrame([Row(content=b"x")]).withColumn("doc_hash", F.sha2("content", 256))
     assert sinks.new_documents(spark.createDataFrame([Row(content=b"x"), Row(content=b"y")]), old).count() == 1
+
+
+def test_accents_and_formulas(spark):
+    from docframe.functions.accents import normalize_diacritics
+    from docframe.functions.formulas import is_formula, to_latex
+
+    rows = docs(spark, "caf e´ ¨ıve", "x^2 ~ y", "∑ x ≤ ∞", None)
+    assert [r["t"] for r in rows.select(normalize_diacritics(F.col("text")).alias("t"), "doc_id").orderBy("doc_id").collect()] == ["caf é ïve", "x^2 ~ y", "∑ x ≤ ∞", None]
+    third = rows.filter("doc_id = 2")
+    assert third.select(to_latex(F.col("text")).alias("t")).first()["t"] == "\\sum x \\leq \\infty" and third.filter(is_formula(F.col("text"))).count() == 1
+
+
+def test_typeset_is_found_again(spark):
+    from docframe.operators import layout, typeset
+
+    blocks = readers.markdown_blocks(docs(spark, "# Head\n\n" + "word " * 200 + "\n\n- item"))
+    fragments = typeset.typeset(blocks)
+    assert fragments.columns == typeset.FRAGMENTS and fragments.agg(F.max("width")).first()[0] <= 468
+    assert layout.scan(fragments, typeset.page_sizes(fragments)).isEmpty()
+    found = [(r["kind"], len(r["text"].split())) for r in layout.blocks(fragments).orderBy("page_number", "block_idx").collect()]
+    assert found == [("heading", 1), ("paragraph", 200), ("paragraph", 1)]
