@@ -39,8 +39,9 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _NOISE_TAGS = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg canvas dialog menu object audio video map".split())
 _NOISE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus foot footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split()
+    "ad ads adv advert adverts advertisement advertising adsense announcement aside banner banners breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus foot footer footers gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+_STATES = ("has-", "no-", "with-", "without-", "is-")
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 _CLOSES_P = _BLOCK - {"option", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -100,12 +101,14 @@ class PageTree(HTMLParser):
             self._text.append(" ")
             return
         given = dict(attrs)
-        names = [n for n in re.split(r"[^a-z0-9]+", f"{given.get('class') or ''} {given.get('id') or ''}".lower()) if n]
+        marks = [m for m in f"{given.get('class') or ''} {given.get('id') or ''}".lower().split() if not m.startswith(_STATES)]
+        names = [n for m in marks for n in re.split(r"[^a-z0-9]+", m) if n]
         if tag in ("article", "main") and not _NOISE_NAMES.intersection(names):
             while self._stack[-1].noise:  # an unclosed menu does not swallow the article
                 self._pop()
         if tag in _BLOCK:
             self._flush()
+            self._close(("head",))
             if tag in _CLOSES_P:
                 self._close(("p",), ("table", "td", "th", "li", "blockquote", "div", "article", "section"))
             if tag in _SIBLINGS:
@@ -114,7 +117,7 @@ class PageTree(HTMLParser):
             return
         top = self._stack[-1]
         style = (given.get("style") or "").replace(" ", "").lower()
-        noise = top.noise or tag in _NOISE_TAGS or (tag == "header" and not top.article) or bool(_NOISE_NAMES.intersection(names)) and tag not in ("html", "body")
+        noise = top.noise or tag in _NOISE_TAGS or (not top.article and (tag == "header" or "header" in names)) or bool(_NOISE_NAMES.intersection(names)) and tag not in ("html", "body")
         noise = noise or (given.get("role") or "").lower() in _NOISE_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(style))
         if noise and not top.noise:
             self._flush_inline(tag)

@@ -20,10 +20,10 @@ def page(i, body, host="a.example"):
 
 def test_article_without_what_is_not_its_text(spark):
     body = '<header>H</header><nav><ul><li>menu</ul></nav><div class="cookie-notice">n</div><article><h1>T &amp; t</h1><p>a  <b>b</b> c<br>d<p>e&nbsp;f<form>g</form><aside>h</aside><section class="comments"><p>i</p></section><!-- j --></article><div id="sidebar">k</div><footer>l'
-    rows = spark.createDataFrame([page(1, body), (2, None, None, "", "", 0), (3, "::bad", "", "", "", 0), page(1, body), page(4, "<p>plain</p>text")], PAGES)
+    rows = spark.createDataFrame([page(1, body), (2, None, None, "", "", 0), (3, "::bad", "", "", "", 0), page(1, body), page(4, "<p>plain</p>text"), (5, "https://b.example/", '<html><head><title>no end<style>p{}</style><body><div class="header">top</div><article class="has-comments"><header><h1>In</h1></header><p>text', "", "", 0)], PAGES)
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_tree.extract_main_text(rows).collect())
     text = "T & t\na b c d\ne f"
-    assert got == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0), (4, "plain\ntext", 10)]
+    assert got == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0), (4, "plain\ntext", 10), (5, "In\ntext", 7)]
     assert html_tree.extract_main_text(rows.limit(0)).isEmpty()
 
 
