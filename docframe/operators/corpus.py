@@ -18,18 +18,29 @@ def topics(docs: DataFrame, most: int = 5) -> DataFrame:
     return counts.withColumn("rank", rank).filter(F.col("rank") <= most).select("doc_id", "topic", "uses", "rank")
 
 
-def topic_pairs(found: DataFrame, least: float = 0.2, widest: int = 200) -> DataFrame:
-    """a < b, jaccard of their topics: pairs that share a topic, by a join on it, never all pairs.
+def topic_classes(found: DataFrame) -> DataFrame:
+    """doc_id, class_id, topics: documents with the same set of topics are a class, named by its smallest doc_id."""
+    sets = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("topic")).alias("topics"))
+    classes = sets.groupBy("topics").agg(F.min("doc_id").alias("class_id"))
+    return sets.join(classes, "topics").select("doc_id", "class_id", "topics")
+
 
-    A topic of more than `widest` documents does not start a pair by itself; pairs it shares still count it, as sets are compared afterwards.
+def topic_pairs(found: DataFrame, least: float = 0.2) -> DataFrame:
+    """a < b, jaccard: all pairs of classes of at least that similarity; topic_classes() has the members.
+
+    Sets of n and m topics that similar share at least least / (1 + least) * (n + m) topics. Where that is over one, classes meet by two
+    topics together, so that a frequent topic alone starts no pair; only small sets meet by a single one.
     """
-    sets = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("topic")).alias("topics"))
-    rare = found.groupBy("topic").count().filter(F.col("count") <= widest).select("topic")
-    keys = found.join(rare, "topic").select("doc_id", "topic")
-    pairs = keys.select(F.col("doc_id").alias("a"), "topic").join(keys.select(F.col("doc_id").alias("b"), "topic"), "topic").filter("a < b").select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("topics").alias("ta")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("topics").alias("tb")), "b")
+    sets = topic_classes(found).filter("doc_id = class_id").select("class_id", "topics", F.size("topics").alias("n"))
+    single = int((1 + least) / least + 1e-9)
+    left = lambda keys: sets.select(F.col("class_id").alias("a"), F.col("topics").alias("ta"), F.col("n").alias("na"), F.explode(keys).alias("key"))
+    right = lambda keys: sets.select(F.col("class_id").alias("b"), F.col("topics").alias("tb"), F.col("n").alias("nb"), F.explode(keys).alias("key"))
+    twos = F.flatten(F.transform("topics", lambda x, i: F.transform(F.slice("topics", i + 2, F.size("topics")), lambda y: F.concat_ws("\n", x, y))))
+    ones = F.when(F.col("n") < single, F.col("topics")).otherwise(F.array().cast("array<string>"))
     jaccard = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    return both.select("a", "b", F.round(jaccard, 6).alias("jaccard")).filter(F.col("jaccard") >= least)
+    small = F.col("na") + F.col("nb") <= single
+    parts = [left(k).join(right(k), "key").filter((F.col("a") < F.col("b")) & (small if k is ones else ~small) & (jaccard >= least)) for k in (ones, twos)]
+    return parts[0].unionByName(parts[1]).select("a", "b", F.round(jaccard, 6).alias("jaccard")).distinct()
 
 
 def revision_diff(old: DataFrame, new: DataFrame, keys: list[str], item: str) -> DataFrame:

@@ -246,11 +246,20 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.topics(table(spark, sf_dir, "documents"))
 
 
-@query(TOPIC_SQL + """
-, sets AS (SELECT doc_id, list(topic) AS ts FROM topics GROUP BY doc_id),
-rare AS (SELECT topic FROM topics GROUP BY topic HAVING count(*) <= 200),
-pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM topics x JOIN topics y ON x.topic = y.topic AND x.doc_id < y.doc_id JOIN rare ON rare.topic = x.topic)
-SELECT a, b, round(len(list_intersect(s.ts, t.ts)) / len(list_distinct(list_concat(s.ts, t.ts))), 6) AS jaccard FROM pairs JOIN sets s ON s.doc_id = a JOIN sets t ON t.doc_id = b
+CLASS_SQL = """
+, sets AS (SELECT doc_id, list_sort(list(topic)) AS ts FROM topics GROUP BY doc_id),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY ts) AS class_id, ts FROM sets)
+"""
+
+
+@query(TOPIC_SQL + CLASS_SQL + "SELECT doc_id, class_id, array_to_string(ts, ' ') AS topics FROM classes")
+def topic_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.topic_classes(corpus.topics(table(spark, sf_dir, "documents"))).withColumn("topics", F.array_join("topics", " "))
+
+
+@query(TOPIC_SQL + CLASS_SQL + """
+, reps AS (SELECT class_id, ts FROM classes WHERE doc_id = class_id)
+SELECT s.class_id AS a, t.class_id AS b, round(len(list_intersect(s.ts, t.ts)) / len(list_distinct(list_concat(s.ts, t.ts))), 6) AS jaccard FROM reps s JOIN reps t ON s.class_id < t.class_id
 WHERE len(list_intersect(s.ts, t.ts)) / len(list_distinct(list_concat(s.ts, t.ts))) >= 0.2
 """)
 def topic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
