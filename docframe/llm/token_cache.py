@@ -1,62 +1,87 @@
-"""Whole-text encoding with the tokenizers library, one call for each distinct piece between blanks.
+"""Whole-text encoding with the tokenizers library's merges, made once for each distinct piece between blanks.
 
-Both vocabularies split a text at blanks before they merge, so a text's ids are its pieces' ids in
+Both kinds of vocabulary split a text at blanks before they merge, so a text's ids are its pieces' ids in
 order. Where a blank stands inside a longer run of white space (or where a special token's opening
-occurs) that does not hold, and the library gets the whole text.
+occurs) that does not hold, and the library gets the whole text. A piece that is not kept yet is normalized and split into words as the
+vocabulary's file says, and the library's model merges each word.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import regex
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 _RUN = re.compile(r"\s (?:\s|\Z)")
-_WORDS_KEPT = 800_000
+_PIECES_KEPT = 1_200_000
+
+# How the two kinds of vocabulary split words.
+_SPACED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BARE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class CachedEncoder:
-    """Ids of whole texts; what it keeps of pieces is bounded by _WORDS_KEPT entries."""
+    """Ids of whole texts; what it keeps of pieces is bounded by _PIECES_KEPT entries."""
 
     def __init__(self, path: str):
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
         self._spaced = self._library.normalizer is None  # then a piece takes the blank before it
+        self._words = regex.compile(_SPACED_WORDS if self._spaced else _BARE_WORDS)
+        self._symbols = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._merge = self._library.model.tokenize
         self._cache: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self._library.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _pieces(self, text: str) -> list[str] | None:
-        if "<|" in text or (self._spaced and _RUN.search(text)):
+        if "<|" in text or "\0" in text or (self._spaced and _RUN.search(text)):
             return None
         if not self._spaced:
             return text.replace("\n", " ").split(" ")
         first, *rest = text.split(" ")
         return ["\0" + first, *rest]  # the first piece has no blank before it
 
-    def _learn(self, pieces: set[str]) -> None:
-        missing = [p for p in pieces if p not in self._cache]
-        if len(self._cache) + len(missing) > _WORDS_KEPT:
-            self._cache.clear()
-            missing = list(pieces)
-        plain = [k[1:] if k[:1] == "\0" else " " + k for k in missing] if self._spaced else missing
-        self._cache.update(zip(missing, self._whole(plain), strict=True))
+    def _piece(self, piece: str) -> bytes:
+        if self._spaced:
+            text = piece[1:] if piece[:1] == "\0" else " " + piece
+        else:
+            text = piece
+        if not text.isascii() and max(text) > "\u024f":  # beyond Latin letters Unicode tables may differ
+            return self._whole(text)
+        if not self._spaced:
+            text = text.lower() if text.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+        words = self._words.findall(text)
+        if text.isascii() and text.isprintable():
+            words = ["Ġ" + w[1:] if w[0] == " " else w for w in words]  # other printable ASCII stands for itself
+        else:
+            words = [self._symbols.pre_tokenize_str(w)[0][0] for w in words]
+        return array("I", [t.id for w in words for t in self._merge(w)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for text in texts:
-            pieces = self._pieces(text) if "\0" not in text else None
+            pieces = self._pieces(text)
             if pieces is None:
-                found = self._whole([text])[0]
+                found = self._whole(text)
             else:
                 try:
                     found = b"".join(map(self._cache.__getitem__, pieces))
                 except KeyError:
-                    self._learn(set(pieces))
+                    distinct = set(pieces)
+                    if len(self._cache) + len(distinct) > _PIECES_KEPT:
+                        self._cache.clear()
+                    for piece in distinct:
+                        if piece not in self._cache:
+                            self._cache[piece] = self._piece(piece)
                     found = b"".join(map(self._cache.__getitem__, pieces))
             out.append(np.frombuffer(found, dtype="<u4"))
         return out
