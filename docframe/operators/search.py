@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +89,53 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, *, key: str = "
     target = F.array(*[F.lit(float(x)) for x in query])
     found = vectors.select(key, cosine(F.col(column), target).alias("score")).dropna()
     return found.orderBy(F.desc(F.round("score", 6)), key).limit(k)
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, *, key: str = "vec_id", column: str = "embedding", block: int = 4096) -> DataFrame:
+    """query_id, key, score: for each row of queries (keys are distinct) the k rows of largest cosine; ties by key. Rows of another length, or with
+    nulls, are dropped. `block` queries at a time meet all rows; each batch of rows keeps k for each query, so that only those are shuffled."""
+    own = vectors.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("vector"))
+    asked = queries.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("vector")).dropna()
+    found, some = [], []
+
+    def meet(part: list) -> DataFrame:
+        by_size: dict[int, list] = {}
+        for r in part:
+            if None not in r["vector"]:
+                by_size.setdefault(len(r["vector"]), []).append(r)
+        sizes = {n: (np.array([r["key"] for r in rows]), _unit(np.array([r["vector"] for r in rows]).reshape(len(rows), n))) for n, rows in by_size.items()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows: dict[int, tuple[list, list]] = {}
+                for i, v in zip(batch.column("key").to_pylist(), batch.column("vector").to_pylist(), strict=True):
+                    if i is not None and v is not None and len(v) in sizes and None not in v:
+                        held = rows.setdefault(len(v), ([], []))
+                        held[0].append(i)
+                        held[1].append(v)
+                for n, (ids, vs) in rows.items():
+                    keys, at = np.array(ids), _unit(np.array(vs).reshape(len(vs), n))
+                    for q, target in zip(*sizes[n], strict=True):
+                        score = at @ target
+                        good = np.nonzero(~np.isnan(score))[0]
+                        best = good[np.lexsort((keys[good], -np.round(score[good], 6)))[:k]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(keys[best]), pa.array(score[best])], ["query_id", key, "score"])
+
+        return own.mapInArrow(run, f"query_id long, {key} long, score double")
+
+    for r in asked.toLocalIterator():
+        some.append(r)
+        if len(some) == block:
+            found.append(meet(some))
+            some = []
+    kept = meet(some)
+    for f in found:
+        kept = kept.unionByName(f)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), key))
+    return kept.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", key, "score")
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows by their norms; zeros stay zeros."""
+    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(norms == 0, 1.0, norms)

@@ -160,6 +160,19 @@ def nearest_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(vectors, target, 20).select("vec_id", F.round("score", 5).alias("score"))
 
 
+@query("""
+SELECT query_id, vec_id, round(score, 5) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q))
+WHERE rank <= 20
+""")
+def nearest_to_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector search for every row whose id is divisible by 50, against all rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = search.nearest_each(vectors, vectors.filter("vec_id % 50 = 0"), 20)
+    return found.select("query_id", "vec_id", F.round("score", 5).alias("score"))
+
+
 # ---- provenance
 
 @query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS block, sha256(trim(lines[i])) AS hash FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)")
