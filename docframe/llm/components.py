@@ -25,10 +25,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) for every node that has an edge; edges: columns a, b, both not null."""
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    before = None
     while True:
-        after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if after == before or not after[0]:
+        after = materialize(_small_star(_large_star(edges)), "components")
+        # both are sets: equal sizes and nothing new mean that they are equal
+        if after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        before = after
-        edges = materialize(_small_star(_large_star(edges)), "components")
+        edges = after

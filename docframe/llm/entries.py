@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm import bpe, context_mixing, html_tree, media, packing, quality, simhash, sketch, token_store, toxicity
-from docframe.llm.shared import new_path
+from docframe.llm.shared import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +37,8 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read(media.store(_read(spark, sf_dir, "documents")), tensors=False)
+    stored = materialize(media.store(_read(spark, sf_dir, "documents")), "media")
+    return media.read(stored, tensors=False)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

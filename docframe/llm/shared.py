@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 4_000_000
+_local_dir: str | None = None  # of a local session without spark.checkpoint.dir
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,9 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="docframe-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    global _local_dir
+    _local_dir = _local_dir or tempfile.mkdtemp(prefix="docframe-")
+    return _local_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -33,7 +34,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage is cut and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -40,7 +40,12 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     width = min(shingle, len(words)) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[width:].tolist(), strict=True)], dtype="<u8")
+    return majority(np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[width:].tolist(), strict=True)], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; none of no hashes."""
+    hashes = hashes.astype("<u8", copy=False)
     counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)]
@@ -106,7 +111,9 @@ def components(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int =
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int = 2, segments: int = 8) -> DataFrame:
-    """docs without near-copies: of each component the document with the smallest doc_id stays, once; rows without a doc_id stay."""
-    kept = components(docs, shingle, seed, radius, segments).filter("doc_id = component_id").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """docs without near-copies: of each component the document with the smallest doc_id stays, once (with the smallest text, where that id has
+    several); rows without a doc_id stay."""
+    kept = components(docs, shingle, seed, radius, segments).filter("doc_id = component_id").select("doc_id").distinct()
+    texts = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("least_text")).join(kept, "doc_id")
+    met = docs.alias("d").join(texts.alias("k"), (F.col("d.doc_id") == F.col("k.doc_id")) & (F.coalesce("d.text", F.lit("")) == F.col("k.least_text")), "left_semi")
+    return met.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -14,6 +14,7 @@ repeated rows and equal texts score alike; other columns (lang, source, ...) are
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,11 +33,33 @@ _WORDS_KEPT = 400_000
 _MARKS = " .,;:!?\"'()[]{}<>|*#$%&@-_=+/\\~^`"
 
 
+_LONG, _STEP = 24, 16
+_PARTS = re.compile(r"[^\W_]+|[\W_]+")
+
+
+def pieces_of(text: str) -> list[str]:
+    """The steps of the network: runs without white space. Runs over _LONG characters are cut at marks, and what is still longer into
+    overlapping parts, so that every character is in some step."""
+    pieces = text.split()
+    if not pieces or max(map(len, pieces)) <= _LONG:
+        return pieces
+    out: list[str] = []
+    for piece in pieces:
+        if len(piece) <= _LONG:
+            out.append(piece)
+            continue
+        for part in _PARTS.findall(piece):
+            if len(part) <= _LONG:
+                out.append(part)
+            else:
+                out += [part[k : k + _LONG] for k in range(0, len(part) - _LONG + _STEP, _STEP)]
+    return out
+
+
 def _buckets(word: str) -> list[int]:
-    """The word's bucket first, then those of its prefixes, suffixes and inner n-grams (at most 24 characters deep)."""
+    """The word's bucket first, then those of its prefixes, suffixes and all inner n-grams."""
     grams = [f"^{word[:n]}" for n in range(2, min(len(word), 9) + 1)]
-    inner = word[:24]
-    grams += [inner[i : i + 4] for i in range(len(inner) - 3)]
+    grams += [word[i : i + 4] for i in range(len(word) - 3)]
     grams.append(f"{word[-4:]}$")
     return [zlib.crc32(f"={word}".encode()) % BUCKETS, *(zlib.crc32(g.encode()) % BUCKETS for g in grams)]
 
@@ -58,7 +81,7 @@ class WordInputs:
         return own, top[-1], top[0], sum(chars) / len(chars), min(len(word), 20) / 20, 1.0
 
     def of(self, text: str) -> np.ndarray:
-        pieces = text.split()
+        pieces = pieces_of(text)
         rows = self._rows
         try:
             at = list(map(rows.__getitem__, pieces))
@@ -171,7 +194,7 @@ def _count_buckets(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for first, texts in text_chunks(batch):
                 for label, text in zip(batch.column("label").slice(first, len(texts)).to_pylist(), texts, strict=True):
-                    words = {p.strip(_MARKS) for p in set(text.lower().split())}
+                    words = {p.strip(_MARKS) for p in set(pieces_of(text.lower()))}
                     found = {b for w in words if w for b in _buckets(w)}
                     counts[label, np.fromiter(found, np.int64, len(found))] += 1
                     documents[label] += 1

@@ -12,18 +12,26 @@ SEED = 20
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, modulus: int, remainder: int) -> DataFrame:
-    """doc_id, text, label of at most `most` labelled rows outside the held-out fold. Null labels and ids are no labels; of several labels of an id the largest counts."""
+    """doc_id, text, label of at most `most` labelled rows outside the held-out fold. Null labels and ids are no labels; of several labels of an id the largest counts, and of rows with one id and text one."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col(label) > 0, 1).when(F.col(label) <= 0, 0).alias("label")).dropna()
     fit = named.filter(~held_out(F.col("doc_id"), modulus, remainder)).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = fit.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(most)
-    return materialize(texts_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    return _at_most(texts_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"), most, "labelled")
 
 
 def unlabelled_sample(docs: DataFrame, most: int) -> DataFrame:
     """doc_id, text of at most `most` different ids of the whole table."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna()
     chosen = ids.orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id").limit(most).distinct()
-    return materialize(texts_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"), "unlabelled")
+    return _at_most(texts_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"), most, "unlabelled")
+
+
+def _at_most(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """At most `most` rows: an id that is repeated brings its different texts, by their hash, as far as there is room."""
+    rows = materialize(rows.dropDuplicates(["doc_id", "text"]), name)
+    if rows.count() <= most:
+        return rows
+    return materialize(rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(most), name)
 
 
 class Adam:

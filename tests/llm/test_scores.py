@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -10,7 +11,12 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docframe.llm import context_mixing, quality, toxicity
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from docframe.llm import context_mixing, near_copies, quality, toxicity, training
+
+from test_near_copies import survivors
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -115,7 +121,7 @@ def test_windows_cover_every_word():
 def test_pipeline(spark):
     import corpus_pipeline
 
-    from docframe.llm import packing, simhash
+    from docframe.llm import packing
 
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
@@ -125,6 +131,74 @@ def test_pipeline(spark):
     bad = {r["doc_id"] for r in toxicity.score_documents(docs, labels).filter("predicted = 1").collect()}
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert ids == {r["doc_id"] for r in docs.select("doc_id").collect()} - bad
-    assert corpus_pipeline.drop_near_copies(spark, kept, MIDDLE).count() == simhash.components(kept).filter("doc_id = component_id").count()
-    out = corpus_pipeline.run(spark, MIDDLE)
-    assert packing.PIECES.split(" ")[0] in out.columns and out.count() > 0
+    want, _ = survivors([(r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, kept, MIDDLE).select("doc_id").collect()) == want
+    out = corpus_pipeline.run(spark, MIDDLE).collect()
+    good = {r["doc_id"] for r in quality.keep_good(kept, labels).collect()}
+    left, _ = survivors([(r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] in good])
+    assert sorted({r["doc_id"] for r in out}) == left
+    sequences = {}
+    for r in out:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        ends = [0]
+        for offset, length in sorted(parts):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 1024
+    text = {r["doc_id"]: r["text"] for r in kept.collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    pieces = {(r["doc_id"], r["start"]): r for r in out}
+    for doc_id in left[:150]:
+        ids = np.array([*library.encode(text[doc_id], add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        while at < len(ids):
+            r = pieces[doc_id, at]
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+
+
+def test_pipeline_odd_rows(spark, odd, empty, documents):
+    """Every stage keeps the columns of documents, and takes nulls, empty and very long texts, ties, repeated rows and an empty table."""
+    import corpus_pipeline
+
+    for docs in (odd, empty, odd.select(documents.columns).unionByName(documents)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, docs, "/root/testdata/sf0.001")
+            assert kept.columns == docs.columns and kept.count() <= docs.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    twice = odd.select("doc_id", "text").unionByName(odd.selectExpr("doc_id", "'other ' || text || ' words that differ' AS text"))
+    kept = near_copies.keep_one_of_each(twice).filter("doc_id is not null").collect()
+    want, _ = survivors([(r["doc_id"], r["text"]) for r in twice.collect()])
+    assert sorted(r["doc_id"] for r in kept) == want
+
+
+def test_folder_of_a_local_session(tmp_path):
+    """Without spark.checkpoint.dir a local session writes to a temporary folder of its own."""
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession
+from docframe.llm import shared
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert shared.shared_dir(spark) == shared.shared_dir(spark)
+assert shared.materialize(spark.range(3), "x").count() == 3
+"""
+    (tmp_path / "spark-defaults.conf").write_text("")
+    subprocess.run([sys.executable, "-c", code], check=True, env={**os.environ, "SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, timeout=120)
+
+
+def test_samples_are_bounded_by_rows(spark):
+    docs = spark.range(500).selectExpr("7L AS doc_id", "concat('text ', id % 300) AS text")
+    labels = spark.createDataFrame([(7, 1, 1)], "doc_id long, quality int, toxic int")
+    assert training.unlabelled_sample(docs, 20).count() == 20
+    assert training.labelled_sample(docs, labels, "toxic", 20, 3, 2 if remainder(7, 3) != 2 else 1).count() == 20
+
+
+def test_long_runs_become_steps():
+    run = "a" * 30 + "-idiot_" + "b" * 50 + "/x"
+    pieces = toxicity.pieces_of(f"short {run} end")
+    assert pieces[0] == "short" and pieces[-1] == "end" and "idiot" in pieces and max(map(len, pieces)) <= 24
+    assert sum(p.count("b") for p in pieces) >= 50 and toxicity.pieces_of("") == []
