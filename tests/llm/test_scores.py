@@ -14,7 +14,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from docframe.llm import context_mixing, near_copies, quality, toxicity, training
+from docframe.llm import context_mixing, near_copies, quality, spelling, toxicity, training, word_bits
 
 from test_near_copies import survivors
 
@@ -46,15 +46,111 @@ def test_language_model_contract(spark, odd, empty, documents):
     assert context_mixing.score_documents(empty).isEmpty()
 
 
-def test_bits_are_a_probability():
+def test_spellings_are_a_probability():
     """All words of one byte, with all continuations, have at most the probability 1."""
-    counts = context_mixing.count_bits([b"a", b"ab", b"b"], np.array([5.0, 3.0, 2.0]))
-    mixer = context_mixing.ContextMixer(counts)
-    mixer.fit(counts, [b"a", b"ab", b"b"], np.array([0.5, 0.3, 0.2]))
-    assert (2.0 ** mixer.log2([bytes([b]) for b in range(256)])).sum() <= 1.0001
-    likely, rare = mixer.log2([b"a", b"q"])
-    assert likely > rare
-    assert mixer.log2([b"x" * 5000])[0] < 0
+    words, kinds = [b"a", b"ab", b"b"], np.zeros(3, np.int32)
+    counts = np.zeros((spelling.PREDICTORS << 12, 2), np.uint32)
+    spelling.count(words, kinds, 12, counts)
+    speller = spelling.Speller.fresh(counts)
+    speller = speller.with_fit(speller.fitted(words, kinds))
+    assert (2.0 ** speller.log2([bytes([b]) for b in range(256)], np.zeros(256, np.int32))).sum() <= 1.0001
+    likely, rare, long = speller.log2([b"a", b"q", b"x" * 5000], kinds)
+    assert likely > rare > long
+
+
+def test_tokens_by_their_definition(odd):
+    texts = [r["text"] or "" for r in odd.collect()]
+    found = word_bits.tokens_of(texts)
+    raw, words = found.raw.tobytes(), iter(zip(found.starts, found.ends, strict=True))
+    names = {}
+    for k, text in enumerate(texts):
+        want = tokens(text)
+        assert found.first[k + 1] - found.first[k] == len(want) and found.sizes[k] == len(text.encode())
+        for t, word in enumerate(want[:-1], start=int(found.first[k])):
+            a, b = next(words)
+            assert raw[a:b] == word and names.setdefault(word, found.hashes[t]) == found.hashes[t]
+        assert found.hashes[found.first[k + 1] - 1] == word_bits.END_HASH
+    assert len(set(names.values())) == len(names) and word_bits.END_HASH not in names.values()
+    places = word_bits.Places(np.array(list(names.values())[::2], np.uint64))
+    assert places.of(np.array(list(names.values()), np.uint64)).tolist() == [i // 2 if i % 2 == 0 else -1 for i in range(len(names))]
+
+
+def word_model(texts):
+    found = word_bits.tokens_of(texts)
+    hashes, uses = np.unique(found.hashes[found.place], return_counts=True)
+    code = word_bits.WordCode(hashes[:6], uses[:6].astype(float), len(texts), np.ones(word_bits.KINDS))
+    counts = np.zeros((2, 1 << 12, 2), np.uint32)
+    word_bits.count(code, found, 12, counts)
+    return found, code, counts
+
+
+def test_bits_of_words_bit_by_bit():
+    """The mixer in step against one that takes bit after bit of each run, written from its description."""
+    texts = ["the cat and the dog " * 70, "", "a dog the odd", "THE the and\ta"]
+    found, code, counts = word_model(texts)
+    mixer = word_bits.Mixer.fresh(word_bits.packed_counts(counts))
+    trained = np.array([True, True, False, True])
+    got, _, _, symbols = word_bits.mix(code, mixer, found, trained)
+    assert all(0 <= s < code.words + 1 + word_bits.KINDS for s in symbols)
+    contexts = word_bits.contexts(symbols, found.first)
+    for k in range(len(texts)):
+        total, span = 0.0, range(int(found.first[k]), int(found.first[k + 1]))
+        for n, t in enumerate(span):
+            if n % word_bits.RUN == 0:
+                weights, refined, offsets = mixer.weights.copy(), mixer.refined.copy(), {}
+            begin = code.begin[symbols[t]]
+            for d in range(code.lengths[symbols[t]]):
+                node, bit, x, gate = code.nodes[begin + d], int(code.bits[begin + d]), [code.stretched[code.nodes[begin + d]]], min(d, word_bits.DEPTHS - 1)
+                for c in range(2):
+                    slot = int(word_bits.slots_of(contexts[c][t : t + 1], np.array([node]), 12)[0])
+                    held = counts[c][slot].astype(int).tolist()
+                    if trained[k]:
+                        held[bit] = max(0, held[bit] - 1)
+                    x.append(math.log((held[1] + 0.4) / (held[0] + 0.4)))
+                    gate += word_bits.DEPTHS * (c == 0 and sum(held) > 3)
+                place = node % word_bits.OWN
+                z = float(np.clip(weights[gate] @ np.array(x) + offsets.get(place, 0.0), -7.9, 7.9))
+                p = 1 / (1 + math.exp(-z))
+                cell = int(z * 2 + 16.5)
+                q = float(refined[gate, cell])
+                total += math.log2(0.5 * (p + q) if bit else 1 - 0.5 * (p + q))
+                weights[gate] += word_bits.RATE * (bit - p) * np.array(x)
+                offsets[place] = offsets.get(place, 0.0) + float(word_bits.OWN_RATE) * (bit - p)
+                refined[gate, cell] = q + float(word_bits.REFINE) * (bit - q)
+        assert got[k] == pytest.approx(total, rel=1e-3, abs=1e-3)
+
+
+def test_words_are_a_probability():
+    """After a given start, all next symbols together have the probability 1."""
+    found, code, counts = word_model(["the cat and the dog " * 5, "a dog"])
+    mixer = word_bits.Mixer.fresh(word_bits.packed_counts(counts))
+    text = word_bits.tokens_of(["the cat"])
+    start = code.symbols(text)
+    total = 0.0
+    for symbol in range(code.words + 1 + word_bits.KINDS):
+        code.symbols = lambda _, s=symbol: np.array([*start[:2], s], np.int32)
+        total += 2.0 ** word_bits.mix(code, mixer, text, np.zeros(1, bool))[0][0]
+    code.symbols = lambda _: start[:2]
+    text.first = np.array([0, 2])
+    assert total == pytest.approx(2.0 ** word_bits.mix(code, mixer, text, np.zeros(1, bool))[0][0], rel=1e-3)
+
+
+def test_tables_grow_and_sums_are_whole(spark):
+    assert context_mixing._table_bits(10, 22) == 12 and context_mixing._table_bits(1 << 18, 22) == 18 and context_mixing._table_bits(1 << 40, 22) == 22
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 9, (5000, 2)).astype(np.uint32) for _ in range(7)]
+    rows = [(r["shard"], bytes(r["counts"])) for p in parts for b in context_mixing._shards(p) for r in b.to_pylist()]
+    got = context_mixing.summed(spark.createDataFrame(rows, "shard long, counts binary"), 5000)
+    assert (got == sum(p.astype(int) for p in parts)).all()
+    assert word_bits.packed_counts(np.array([[1 << 40, 1 << 39]])).tolist() == [[65535, 32767]]
+
+
+def test_model_is_better_than_the_base(spark):
+    """On text that it did not learn from."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = context_mixing.score_documents(docs).collect()
+    out = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
 @pytest.fixture(scope="module")
