@@ -102,7 +102,7 @@ def test_bits_of_words_bit_by_bit():
             for d in range(code.lengths[symbols[t]]):
                 node, bit, x, gate = code.nodes[begin + d], int(code.bits[begin + d]), [code.stretched[code.nodes[begin + d]]], min(d, word_bits.DEPTHS - 1)
                 for c in range(2):
-                    slot = int(word_bits.slots_of(contexts[c][t : t + 1], np.array([node]), 12)[0])
+                    slot = int(word_bits.slots_of(contexts[c][t : t + 1], word_bits._of_nodes(np.array([node])), 12)[0])
                     held = counts[c][slot].astype(int).tolist()
                     if trained[k]:
                         held[bit] = max(0, held[bit] - 1)
