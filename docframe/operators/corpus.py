@@ -56,6 +56,17 @@ def complexity(chunks: Column, tables: Column, equations: Column, references: Co
     return F.when(score >= 4, "complex").when(score >= 2, "moderate").otherwise("simple")
 
 
+# The words by which a document's terms name its kind, in order.
+KIND_WORDS = (("medical", "clinical|patient|medical|diagnosis|treatment"), ("legal", "legal|compliance|regulation|gdpr|hipaa|contract"), ("financial", "financial|revenue|earnings|fiscal|audit"))
+
+
+def kind_of_terms(terms: Column, refs: Column, doi: Column) -> Column:
+    """medical, legal or financial by any of the terms (lower-cased), research by over 5 references or a DOI, else other."""
+    named = lambda words: F.exists(terms, lambda t: F.lower(t).rlike(rf"\b({words})\b"))
+    case = reduce(lambda c, k: c.when(named(k[1]), k[0]), KIND_WORDS[1:], F.when(named(KIND_WORDS[0][1]), KIND_WORDS[0][0]))
+    return case.when((refs > 5) | doi.isNotNull(), "research").otherwise("other")
+
+
 def route(docs: DataFrame) -> DataFrame:
     """doc_id, complexity, route, priority from (doc_id, kind, chunks, tables, equations, refs, columns)."""
     level = complexity(*(F.col(c) for c in ("chunks", "tables", "equations", "refs", "columns")))

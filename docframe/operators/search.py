@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,12 +75,16 @@ def search_pattern(blocks: DataFrame, pattern: str, *, regex: bool = False, whol
     return blocks.filter(F.col(text).rlike(quoted if case_sensitive else f"(?iu){quoted}"))
 
 
-def relevance(chunks: DataFrame, keys: list[str], query: str, keywords: list[str], most: int = 5) -> DataFrame:
-    """Of each document the `most` chunks by score: 2 for each query word found, 3 for each keyword, times the importance, times 1.5 where it concludes."""
-    low = F.lower("content")
-    hits = sum((F.when(low.contains(w), 2).otherwise(0) for w in dict.fromkeys(query.lower().split())), F.lit(0))
-    marks = sum((F.when(low.contains(w.lower()), 3).otherwise(0) for w in keywords), F.lit(0))
-    boost = F.when(low.contains("conclusion"), 1.5).otherwise(1.0)
+def relevance(chunks: DataFrame, keys: list[str], query: str, most: int = 5) -> DataFrame:
+    """Of each document the `most` chunks by score: 2 for each time that a query word occurs, 3 for each of the chunk's keywords that has a query word
+    in it, times the importance, and times 1.5 for paragraphs after the first page (late) if the query asks for a conclusion or recommendation.
+    chunks: keys, content, importance, keywords, late."""
+    words, low = query.lower().split(), F.lower("content")
+    uses = lambda w: (F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)
+    hits = sum((2 * uses(w) for w in words), F.lit(0.0))
+    marks = 3 * F.size(F.filter("keywords", lambda k: reduce(lambda a, b: a | b, [F.lower(k).contains(w) for w in words], F.lit(False))))
+    concludes = "conclusion" in query or "recommendation" in query
+    boost = F.when(F.col("late"), 1.5).otherwise(1.0) if concludes else F.lit(1.0)
     scored = chunks.withColumn("score", (hits + marks) * F.col("importance") * boost).filter("score > 0")
     rank = F.row_number().over(Window.partitionBy(keys[0]).orderBy(F.desc("score"), *keys[1:]))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= most).select(*keys, "score", "rank")

@@ -9,7 +9,7 @@ import pytest
 from conftest import SMALL
 
 from docframe import registry
-from docframe.plans import catalog  # noqa: F401
+from docframe.plans import catalog, projected  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
