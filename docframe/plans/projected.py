@@ -7,8 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docframe.functions import text as tx
+from docframe.operators import edit_log, layout, search
 from docframe.operators import projections as pj
-from docframe.operators import search
 from docframe.plans.catalog import CHUNK_SQL, FRAGMENT_SQL, OPS_SQL, _chunks, _fragments, _lines, _ops, table
 from docframe.registry import query
 from docframe.sources import readers
@@ -275,3 +276,75 @@ def layered_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     upper = F.struct((key % 3 == 0).alias("bold"), F.when(key % 5 == 0, 9.0).alias("size"))
     rows = table(spark, sf_dir, "customer").select("c_custkey", lower.alias("a"), upper.alias("b"))
     return rows.select("c_custkey", pj.layered(F.col("a"), F.col("b"), ["bold"], ["size"]).alias("s")).select("c_custkey", "s.bold", "s.size")
+
+
+# ---- readers, cells and edit logs on rows whose result is known
+
+@query("""
+SELECT n_nationkey AS doc_id, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, r = 0 AS is_header,
+  CASE WHEN r = 0 THEN ['name', 'note'][c + 1] WHEN r = 1 AND c = 0 THEN concat(n_name, ', of region', chr(10), n_regionkey) WHEN r = 1 THEN 'a "quoted" word' WHEN c = 0 THEN CAST(n_nationkey AS VARCHAR) ELSE '' END AS text
+FROM nation, (SELECT unnest([0, 1, 2]) AS r), (SELECT unnest([0, 1]) AS c)
+""")
+def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small file for each nation: a quoted field with a comma and a line end, doubled quotes, a blank record, an empty field."""
+    docs = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS doc_id", """concat('name,note\\n"', n_name, ', of region\\n', n_regionkey, '","a ""quoted"" word"\\n\\n', n_nationkey, ',') AS text""")
+    return readers.csv_cells(docs)
+
+
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS whole, CASE WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS VARCHAR) ELSE concat(p_size // 2, '.5') END AS half, '' AS nothing FROM part")
+def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("double")
+    return table(spark, sf_dir, "part").select("p_partkey", tx.number_text(size).alias("whole"), tx.number_text(size / 2).alias("half"), tx.number_text(F.lit(float("inf")) + size).alias("nothing"))
+
+
+@query("SELECT s_suppkey, s_suppkey % 6 IN (0, 1, 2, 5) AS hides, CASE WHEN s_suppkey % 3 = 0 THEN 'figure' WHEN s_suppkey % 3 = 1 THEN 'table' END AS caption, s_suppkey % 4 < 2 AS is_date FROM supplier")
+def style_and_caption_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations that hide text and some that do not, openings of captions, and date formats by id and by code."""
+    key = F.col("s_suppkey")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (key % n).cast("int"))
+    style = pick(("display : none", "color:#FFF; background:white", "font-size: 0px", "color:white", "opacity:0.5", "visibility:hidden"), 6)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", tx.style_hides(style).alias("hides"), tx.caption_kind(pick(("Fig. 3: x", "TABLE 4", "Figure x"), 3)).alias("caption"), tx.is_date_format(pick((14, 0, 0, 9), 4), pick((None, "yyyy-mm", '"day"0', "0.00"), 4)).alias("is_date"))
+
+
+@query(OPS_SQL + "SELECT l.doc_id, l.node_counter, l.node_actor, CASE WHEN l.actor < 2 THEN concat('actor ', l.actor) END AS author, CASE WHEN l.actor < 2 THEN l.actor = 1 END AS is_agent FROM live l")
+def edit_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who wrote each live node; the third actor is not in the table of actors."""
+    ops = _ops(spark, sf_dir)
+    actors = ops.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("id")).select("doc_id", "id", F.concat(F.lit("actor "), F.col("id").cast("string")).alias("name"), (F.col("id") == 1).alias("is_agent"))
+    return edit_log.attribution(ops, actors).select("doc_id", "node_counter", "node_actor", "author", "is_agent")
+
+
+@query(OPS_SQL + "SELECT doc_id, max(counter) + 1 AS next_counter FROM ops GROUP BY doc_id")
+def edit_next_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_log.next_counter(_ops(spark, sf_dir))
+
+
+@query(LINES_SQL + "SELECT doc_id, CAST(block + 1 AS BIGINT) AS counter, CASE WHEN block > 0 THEN CAST(block AS BIGINT) END AS left_counter, text AS content FROM lines")
+def edit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as a chain of inserts."""
+    return edit_log.from_blocks(_lines(spark, sf_dir)).select("doc_id", "counter", "left_counter", "content")
+
+
+@query("SELECT n_nationkey AS doc_id, concat(n_name, ' & \"more\" – ', 'é', chr(10), 'A<B') AS text FROM nation")
+def html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named, decimal and hexadecimal references."""
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), readers.unescape(F.concat("n_name", F.lit(" &amp; &quot;more&#34; &ndash; &eacute;&#10;&#x41;&lt;B"))).alias("text"))
+
+
+@query("SELECT o_orderkey AS doc_id, 1 AS page_number, 0 AS table_idx, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CASE WHEN r = 0 THEN ['key', 'status'][c + 1] WHEN c = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderstatus END AS text FROM orders, (SELECT unnest([0, 1]) AS r), (SELECT unnest([0, 1]) AS c)")
+def ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four fragments of each order between three rules; a fifth stands outside."""
+    orders = table(spark, sf_dir, "orders")
+    cells = F.array(*[F.struct(F.lit(i).alias("frag_idx"), text.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, text, x, y in ((0, F.lit("key"), 50.0, 100.0), (1, F.lit("status"), 200.0, 100.0), (2, F.col("o_orderkey").cast("string"), 50.0, 120.0), (3, F.col("o_orderstatus"), 200.0, 120.0), (4, F.lit("outside"), 50.0, 300.0))])
+    fragments = orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), F.inline(cells)).withColumns({"width": F.lit(60.0), "height": F.lit(10.0), "font_size": F.lit(10.0)})
+    rules = orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), F.lit("h").alias("orientation"), F.lit(40.0).alias("x0"), F.explode(F.array(F.lit(95.0), F.lit(115.0), F.lit(135.0))).alias("y0"), F.lit(300.0).alias("x1")).withColumn("y1", F.col("y0"))
+    return layout.tables(fragments, rules).select("doc_id", "page_number", "table_idx", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "text")
+
+
+@query("SELECT o_orderkey AS doc_id, name, CASE WHEN name = 'a' THEN 'figure' ELSE 'image' END AS kind, CASE WHEN name = 'a' THEN concat('Figure 1: ', o_orderstatus) END AS caption FROM orders, (SELECT unnest(['a', 'b']) AS name)")
+def captioned_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two images of each order and one caption, a little inside of the first image."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), "o_orderstatus")
+    fragments = orders.select("doc_id", "page_number", F.lit(0).alias("frag_idx"), F.concat(F.lit("Figure 1: "), "o_orderstatus").alias("text"), F.lit(60.0).alias("x"), F.lit(199.0).alias("y"), F.lit(80.0).alias("width"), F.lit(10.0).alias("height"))
+    images = orders.select("doc_id", "page_number", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(50.0).alias("x"), F.lit(y).alias("y"), F.lit(100.0).alias("width"), F.lit(100.0).alias("height")) for n, y in (("a", 100.0), ("b", 500.0))])))
+    return layout.figures(fragments, images).select("doc_id", "name", "kind", "caption")

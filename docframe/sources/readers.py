@@ -9,10 +9,12 @@ import io
 import zipfile
 import zlib
 from collections.abc import Iterator
+from html import unescape as unescape_html
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # An archive's limits.
 ENTRY_BYTES, ARCHIVE_BYTES, ENTRIES = 128 << 20, 512 << 20, 65_536
@@ -92,10 +94,12 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
 
 
 def unescape(text: Column) -> Column:
-    """XML's five names, no-break blanks and a few marks of prose."""
-    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("mdash", "—"), ("ndash", "–"), ("hellip", "…"), ("#39", "'"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
-    return text
+    """All of HTML's names, and decimal and hexadecimal references; a no-break blank is a blank. Text without & stays in the JVM."""
+    return F.when(text.contains("&"), F.pandas_udf(_unescaped, StringType())(text)).otherwise(text)
+
+
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unescape_html(t).replace("\xa0", " "))
 
 
 HTML_BLOCKS = "address|article|aside|blockquote|body|caption|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
