@@ -15,7 +15,6 @@ repeated rows and equal texts score alike; other columns (lang, source, ...) are
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,47 +55,70 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
-def _buckets(word: str) -> list[int]:
-    """The word's bucket first, then those of its prefixes, suffixes and all inner n-grams."""
-    grams = [f"^{word[:n]}" for n in range(2, min(len(word), 9) + 1)]
-    grams += [word[i : i + 4] for i in range(len(word) - 3)]
-    grams.append(f"{word[-4:]}$")
-    return [zlib.crc32(f"={word}".encode()) % BUCKETS, *(zlib.crc32(g.encode()) % BUCKETS for g in grams)]
+_FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_WORD, _PREFIX, _INNER, _SUFFIX = (np.uint64(k * 0xC2B2AE3D27D4EB4F % 2**64) for k in range(1, 5))
+GRAM, PREFIXES, AT_ONCE = 4, range(2, 10), 8192
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * _MIX
+    return ((hashes ^ (hashes >> np.uint64(29))) * _FACTOR >> np.uint64(47)).view(np.int64)
+
+
+def buckets_of(words: list[str]) -> np.ndarray:
+    """A row for each word (none empty): the word's bucket first, then those of its prefixes, its last characters and all inner n-grams; -1 where it has no more."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    most = int(sizes.max(initial=GRAM))
+    chars = np.zeros((len(words), most), np.uint64)
+    chars[np.arange(most) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    powers = np.multiply.accumulate(np.full(most, _FACTOR, np.uint64))
+    upto = np.cumsum(chars * powers, axis=1, dtype=np.uint64)  # hashes of all prefixes; the last is the word's
+    inner = sum(chars[:, k : most - GRAM + 1 + k] * powers[k] for k in range(GRAM))
+    tail = inner[np.arange(len(words)), np.maximum(sizes - GRAM, 0)]
+    prefixes = [n for n in PREFIXES if n <= most]
+    found = np.concatenate([upto[:, -1:] ^ _WORD, tail[:, None] ^ _SUFFIX, upto[:, [n - 1 for n in prefixes]] ^ _PREFIX, inner ^ _INNER], axis=1)
+    needed = np.array([1, 1, *prefixes, *range(GRAM, most + 1)])
+    return np.where(needed <= sizes[:, None], _bucket(found), -1)
 
 
 class WordInputs:
     """Input rows of words, kept by the word as it stands in the text, within a bound."""
 
     def __init__(self, odds: np.ndarray):
-        self._odds = odds.tolist()
+        self._odds = np.append(odds, np.float32(-np.inf))  # of bucket -1
         self._rows: dict[str, int] = {}
         self._table = np.zeros((4096, INPUTS), np.float32)
 
-    def _row(self, piece: str) -> tuple[float, ...]:
-        word = piece.lower().strip(_MARKS)
-        if not word:
-            return (0.0,) * INPUTS
-        own, *chars = (self._odds[b] for b in _buckets(word))
-        top = sorted(chars)[-2:]
-        return own, top[-1], top[0], sum(chars) / len(chars), min(len(word), 20) / 20, 1.0
-
-    def of(self, text: str) -> np.ndarray:
-        pieces = pieces_of(text)
-        rows = self._rows
-        try:
-            at = list(map(rows.__getitem__, pieces))
-        except KeyError:
-            distinct = set(pieces)
-            if len(rows) + len(distinct) > _WORDS_KEPT:
-                rows.clear()
-            for piece in distinct:
-                if piece not in rows:
-                    if len(rows) >= len(self._table):
-                        self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-                    self._table[len(rows)] = self._row(piece)
-                    rows[piece] = len(rows)
-            at = list(map(rows.__getitem__, pieces))
-        return self._table[at]
+    def rows_of(self, pieces: list[str]) -> np.ndarray:
+        out = np.zeros((len(pieces), INPUTS), np.float32)
+        words = [p.lower().strip(_MARKS) for p in pieces]
+        at = np.flatnonzero(np.fromiter(map(bool, words), bool, len(words)))
+        for k in range(0, len(at), AT_ONCE):
+            some = at[k : k + AT_ONCE]
+            part = [words[i] for i in some.tolist()]
+            odds = self._odds[buckets_of(part)]
+            chars = np.partition(odds[:, 1:], -2, axis=1)
+            has = np.isfinite(odds[:, 1:])
+            first, second = chars[:, -1], np.where(np.isfinite(chars[:, -2]), chars[:, -2], chars[:, -1])
+            mean = np.where(has, odds[:, 1:], 0).sum(axis=1, dtype=np.float64) / has.sum(axis=1)
+            sizes = np.fromiter(map(len, part), np.float64, len(part))
+            out[some] = np.column_stack([odds[:, 0], first, second, mean, np.minimum(sizes, 20) / 20, np.ones(len(part))])
+        return out
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        pieces = [pieces_of(t) for t in texts]
+        new = set().union(*pieces).difference(self._rows)
+        if new and len(self._rows) + len(new) > _WORDS_KEPT:
+            self._rows.clear()
+            new = set().union(*pieces)
+        if new:
+            held, some = len(self._rows), list(new)
+            if held + len(some) > len(self._table):
+                self._table = np.concatenate([self._table[:held], np.zeros((held + 2 * len(some), INPUTS), np.float32)])
+            self._table[held : held + len(some)] = self.rows_of(some)
+            self._rows.update(zip(some, range(held, held + len(some)), strict=True))
+        row = self._rows.__getitem__
+        return [self._table[np.fromiter(map(row, p), np.int64, len(p))] for p in pieces]
 
 
 def windows(inputs: np.ndarray) -> np.ndarray:
@@ -194,9 +216,10 @@ def _count_buckets(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for first, texts in text_chunks(batch):
                 for label, text in zip(batch.column("label").slice(first, len(texts)).to_pylist(), texts, strict=True):
-                    words = {p.strip(_MARKS) for p in set(pieces_of(text.lower()))}
-                    found = {b for w in words if w for b in _buckets(w)}
-                    counts[label, np.fromiter(found, np.int64, len(found))] += 1
+                    words, seen = sorted({p.lower().strip(_MARKS) for p in set(pieces_of(text))} - {""}), np.zeros(BUCKETS + 1, bool)
+                    for k in range(0, len(words), AT_ONCE):
+                        seen[buckets_of(words[k : k + AT_ONCE])] = True  # -1 is the last place
+                    counts[label] += seen[:-1]
                     documents[label] += 1
         at = np.nonzero(counts.any(axis=0))[0]
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([documents[0], *counts[0, at]], pa.int64()), pa.array([documents[1], *counts[1, at]], pa.int64())], ["bucket", "zero", "one"])
@@ -218,8 +241,8 @@ def _training_windows(rows: DataFrame, odds: np.ndarray, of_each: int = 3) -> tu
         for batch in batches:
             for first, texts in text_chunks(batch):
                 found = []
-                for text in texts:
-                    x = windows(inputs.of(text))
+                for rows_of_text in inputs.of(texts):
+                    x = windows(rows_of_text)
                     best = np.argsort(-x[:, :, :2].sum(axis=2).max(axis=1), kind="stable")[:of_each]
                     found.append(np.ascontiguousarray(x[best], dtype=np.float16).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), batch.column("label").slice(first, len(texts)), pa.array(found, pa.binary())], ["doc_id", "label", "x"])
@@ -236,7 +259,7 @@ class ToxicityModel:
 
     def score(self, texts: list[str], inputs: WordInputs) -> np.ndarray:
         """Of each text the score of its worst window."""
-        found = [inputs.of(t) for t in texts]
+        found = inputs.of(texts)
         x = [windows(f) for f in found]
         ends = np.cumsum([len(p) for p in x])
         logits = self.network.logits(np.concatenate(x))

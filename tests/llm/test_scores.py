@@ -298,3 +298,16 @@ def test_long_runs_become_steps():
     pieces = toxicity.pieces_of(f"short {run} end")
     assert pieces[0] == "short" and pieces[-1] == "end" and "idiot" in pieces and max(map(len, pieces)) <= 24
     assert sum(p.count("b") for p in pieces) >= 50 and toxicity.pieces_of("") == []
+
+
+def test_buckets_of_words_do_not_depend_on_their_company() -> None:
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdé漢😀"), n)) for n in (1, 2, 3, 4, 5, 9, 10, 24, 31) for _ in range(3)]
+    together = toxicity.buckets_of(words)
+    for word, row in zip(words, together, strict=True):
+        alone, held = toxicity.buckets_of([word])[0], row[row >= 0]
+        assert alone[alone >= 0].tolist() == held.tolist()
+        assert len(held) == 2 + len(range(2, min(len(word), 9) + 1)) + max(0, len(word) - 3)
+    inner = toxicity.buckets_of(["xxabcdyy", "zabcdz"])
+    assert set(inner[0, -5:].tolist()) & set(inner[1, -5:].tolist()) - {-1}
+    assert toxicity.buckets_of([]).shape[0] == 0
