@@ -1,8 +1,8 @@
 """HTML pages as documents: runs with their styles, blocks, nested lists, table cells with spans, and text that a page's own rules hide.
 
 A page becomes a table of tokens (JVM-side, by one pattern). Its style rules are rows too, and are joined to the elements that they name:
-a tag, a class or an id. Which elements are open at a token is the one thing that needs a stack: _open_elements, a small function over a
-page's tags, gives each token the nearest open element of each scope and the style in force. All else is windows and groups over tokens.
+a tag, a class or an id. Which elements are open at a token is the one thing that needs a stack: _OpenElements, small and over a page's
+tags alone, gives each token the nearest open element of each scope and the style in force. All else is windows and groups over tokens.
 
 Defined cases: a null page has no rows; unclosed p, li, td, th, tr and inline elements end where the next block begins or their block ends;
 a closing tag without its opening one is ignored; text of script and style is no text; an element that is never closed reaches to the end
@@ -12,12 +12,14 @@ kept apart by `key`; pages of equal keys must not occur.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docframe.functions.text import style_hides
-from docframe.sources.readers import unescape
+from docframe.sources.readers import unescape, unescape_xml
 
 # Elements without content, elements that end a paragraph, and what a tag says about its text.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
@@ -46,12 +48,12 @@ def tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
 
 
 def attribute(attrs: Column, name: str) -> Column:
-    """Its value, '' if it has none, null if it is not there. Values may be quoted or bare; names in quoted values don't count."""
+    """Its value, '' if it has none, null if it is not there. Values may be quoted or bare; names in quoted values don't count. Of references, numbers and XML's five names are resolved."""
     pair = r"""(?is)([^\s=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']\S*)|))?"""
     names = F.regexp_extract_all(attrs, F.lit(pair), F.lit(1))
     at = F.array_position(F.transform(names, F.lower), F.lit(name))
     value = F.concat(*[F.get(F.regexp_extract_all(attrs, F.lit(pair), F.lit(g)), at.cast("int") - 1) for g in (2, 3, 4)])
-    return F.when(at > 0, unescape(value))
+    return F.when(at > 0, unescape_xml(value))
 
 
 def style_rules(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -94,43 +96,55 @@ def element_styles(found: DataFrame, rules: DataFrame, key: str = "page_id") ->
     return rows.select(key, "at", *[found_styles[s].alias(s) for s in STYLES])
 
 
-def _open_elements(at: list[int], kinds: list[str], tags: list[str], styles: list[list]) -> list[tuple]:
-    """For each token: (how many lists are open, the nearest open element of each scope or -1, the style in force)."""
-    stack: list[tuple[int, str, tuple, list[int], int]] = []  # place, tag, style, scopes, open lists
-    bottom = (-1, "", (False,) * len(STYLES), [-1] * len(SCOPES), 0)
-    names = list(SCOPES.values())
-    out = []
+class _OpenElements:
+    """For each token of pages that come one after the other, sorted: (how many lists are open, the nearest open element of each scope or -1, the style in force)."""
+
+    def __init__(self) -> None:
+        self.key, self.stack = None, []  # of an open element: place, tag, style, scopes, open lists
+        self.bottom = (-1, "", (False,) * len(STYLES), [-1] * len(SCOPES), 0)
 
-    def close_to(ends: tuple[str, ...], walls: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][1] in ends:
-                del stack[i:]
+    def close_to(self, ends: tuple[str, ...], walls: tuple[str, ...]) -> None:
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][1] in ends:
+                del self.stack[i:]
                 return
-            if stack[i][1] in walls:
+            if self.stack[i][1] in walls:
                 return
 
-    for place, kind, tag, own in zip(at, kinds, tags, styles, strict=True):
+    def before(self, kind: str, tag: str) -> None:
+        """Ends what this tag ends."""
         if kind in ("open", "void") and tag in BLOCKS:
-            while stack and (stack[-1][1] not in BLOCKS or stack[-1][1] == "p" or stack[-1][1] in HEADINGS):
-                stack.pop()
+            while self.stack and (self.stack[-1][1] not in BLOCKS or self.stack[-1][1] == "p" or self.stack[-1][1] in HEADINGS):
+                self.stack.pop()
             if tag == "li":
-                close_to(("li",), ("ul", "ol", "td", "th", "table"))
+                self.close_to(("li",), ("ul", "ol", "td", "th", "table"))
             elif tag in ("td", "th"):
-                close_to(("td", "th"), ("tr", "table"))
+                self.close_to(("td", "th"), ("tr", "table"))
             elif tag == "tr":
-                close_to(("tr",), ("table",))
-        if kind == "close":
-            inline = tag not in BLOCKS
-            close_to((tag,), BLOCKS if inline else ("table",) if tag in ("td", "th", "tr", "thead", "tbody", "tfoot") else () if tag == "table" else ("td", "th"))
-        top = stack[-1] if stack else bottom
-        if kind == "open":
-            style = tuple(b if a is None else bool(a) or (i == 0 and b) for i, (a, b) in enumerate(zip(own, top[2], strict=True)))
-            scopes = [place if tag in n else s for n, s in zip(names, top[3], strict=True)]
-            out.append((top[4], *top[3], *style))
-            stack.append((place, tag, style, scopes, top[4] + (tag in ("ul", "ol"))))
-        else:
-            out.append((top[4], *top[3], *top[2]))
-    return out
+                self.close_to(("tr",), ("table",))
+        elif kind == "close":
+            if tag not in BLOCKS:
+                walls = BLOCKS
+            elif tag in ("td", "th", "tr", "thead", "tbody", "tfoot"):
+                walls = ("table",)
+            else:
+                walls = () if tag == "table" else ("td", "th")
+            self.close_to((tag,), walls)
+
+    def follow(self, keys: list, places: list[int], kinds: list[str], tags: list[str], styles: list[list]) -> list[tuple]:
+        names, out = list(SCOPES.values()), []
+        for key, place, kind, tag, own in zip(keys, places, kinds, tags, styles, strict=True):
+            if key != self.key:
+                self.key, self.stack = key, []
+            self.before(kind, tag)
+            _, _, style, scopes, lists = self.stack[-1] if self.stack else self.bottom
+            if kind == "open":
+                inner = tuple(b if a is None else bool(a) or (i == 0 and b) for i, (a, b) in enumerate(zip(own, style, strict=True)))
+                out.append((lists, *scopes, *inner))
+                self.stack.append((place, tag, inner, [place if tag in n else s for n, s in zip(names, scopes, strict=True)], lists + (tag in ("ul", "ol"))))
+            else:
+                out.append((lists, *scopes, *style))
+        return out
 
 
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -141,13 +155,14 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     kind = dict(styled.dtypes)[key]
     schema = f"{key} {kind}, at int, kind string, tag string, attrs string, text string, lists int, " + ", ".join([*[f"in_{s} int" for s in SCOPES], *[f"{s} boolean" for s in STYLES]])
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("at", ignore_index=True)
-        own = page[STYLES].astype(object)
-        states = _open_elements(page["at"].tolist(), page["kind"].tolist(), page["tag"].tolist(), own.where(own.notna(), None).values.tolist())
-        return pd.concat([page.drop(columns=STYLES), pd.DataFrame(states, columns=columns)], axis=1)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = _OpenElements()
+        for batch in batches:
+            own = batch[STYLES].astype(object)
+            found = state.follow(batch[key].tolist(), batch["at"].tolist(), batch["kind"].tolist(), batch["tag"].tolist(), own.where(own.notna(), None).values.tolist())
+            yield pd.concat([batch.drop(columns=STYLES), pd.DataFrame(found, columns=columns, index=batch.index)], axis=1)
 
-    return styled.select(key, "at", "kind", "tag", "attrs", "text", *STYLES).groupBy(key).applyInPandas(run, schema)
+    return styled.select(key, "at", "kind", "tag", "attrs", "text", *STYLES).repartition(key).sortWithinPartitions(key, "at").mapInPandas(run, schema)
 
 
 def _in_document(rows: DataFrame) -> DataFrame:

@@ -102,6 +102,20 @@ def _unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unescape_html(t).replace("\xa0", " "))
 
 
+def unescape_xml(text: Column) -> Column:
+    """XML's five names and numeric references, without leaving the JVM; numbers that are no character stay as they are."""
+    digits = lambda p: F.regexp_extract(p, r"^&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+    code = lambda p: F.when(F.lower(digits(p)).startswith("x"), F.conv(F.substring(digits(p), 2, 6), 16, 10)).otherwise(digits(p)).cast("int")
+    sound = lambda p: (code(p) > 0) & (code(p) < 0x110000) & ~code(p).between(0xD800, 0xDFFF)
+    letter = lambda p: F.decode(F.unhex(F.lpad(F.hex(code(p)), 8, "0")), "UTF-32")
+    piece = lambda p: F.when(digits(p) == "", p).when(sound(p), F.concat(letter(p), F.regexp_replace(p, r"^&#\w+;", ""))).otherwise(p)
+    numbered = F.when(text.contains("&#"), F.array_join(F.transform(F.split(text, r"(?=&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), piece), "")).otherwise(text)
+    named = numbered
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        named = F.replace(named, F.lit(name), F.lit(sign))
+    return F.when(text.contains("&"), named).otherwise(text)
+
+
 HTML_BLOCKS = "address|article|aside|blockquote|body|caption|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
 
 
