@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from docframe.functions.text import caption_kind, list_marker, word_count
 
 # Sizes in points and lengths in characters at which behaviour changes.
-UNREADABLE, SHOWN = 1.0, 200
+UNREADABLE = 1.0
 LONG_TEXTS = ((100_000, 3), (50_000, 2), (20_000, 1))
 IDENTIFIERS = {"doi": r"\b10\.\d{4,9}/[-._;()/:A-Za-z0-9]*[A-Za-z0-9]", "arxiv": r"(?i)\barxiv:\s?(\d{4}\.\d{4,5})", "pmid": r"(?i)\bpmid:\s?(\d{1,8})", "isbn": r"(?i)\bisbn(?:-1[03])?:?\s?([0-9][0-9-]{8,15}[0-9Xx])"}
 
@@ -67,9 +67,9 @@ def flag_unreadable(runs: DataFrame) -> DataFrame:
 
 
 def scan_semantic(runs: DataFrame) -> DataFrame:
-    """Hidden runs with text: doc_id, page_number (the section from 1), block, run, reason, text, and a place of zero."""
+    """Hidden runs with text: doc_id, page_number (the section from 1), block, run, reason, the whole text, and a place of zero."""
     rows = runs.filter(F.col("hidden") & (F.trim("text") != ""))
-    return rows.select("doc_id", (F.col("section") + 1).alias("page_number"), "block", "run", F.lit("hidden").alias("reason"), F.substring(F.trim("text"), 1, SHOWN).alias("text"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    return rows.select("doc_id", (F.col("section") + 1).alias("page_number"), "block", "run", F.lit("hidden").alias("reason"), F.trim("text").alias("text"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 
 
 def layered(lower: Column, upper: Column, flags: list[str], options: list[str]) -> Column:
@@ -129,17 +129,18 @@ def caption_splits(rows: DataFrame) -> DataFrame:
 
 
 def list_groups(blocks: DataFrame) -> DataFrame:
-    """Adds list: consecutive list items of a document are one list, numbered from 1; null for other blocks."""
-    marked = blocks.withColumn("is_item", list_marker(F.col("text")) != "")
+    """Adds list: consecutive list items of one kind, bulleted or numbered, are one list, numbered from 1; null for other blocks. structure.nested_lists nests by level."""
+    marker = list_marker(F.coalesce("text", F.lit("")))
+    marked = blocks.withColumn("marker", F.when(marker == "", "").when(marker.rlike("^[0-9]"), "1").otherwise("-"))
     order = Window.partitionBy("doc_id").orderBy("block")
-    starts = F.col("is_item") & ~F.coalesce(F.lag("is_item").over(order), F.lit(False))
+    starts = (F.col("marker") != "") & (F.coalesce(F.lag("marker").over(order), F.lit("")) != F.col("marker"))
     number = F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("list", F.when(F.col("is_item"), number)).drop("is_item")
+    return marked.withColumn("list", F.when(F.col("marker") != "", number)).drop("marker")
 
 
 def square_grid(cells: DataFrame) -> DataFrame:
-    """doc_id, row, cells: rows as arrays of one width, without empty rows at the end and empty columns at the right. cells: doc_id, row, col, text."""
-    held = cells.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    """doc_id, row, cells: rows as arrays of one width, without empty rows at the end and empty columns at the right; a blank is text, so a place that a cell covers stays. cells: doc_id, row, col, text."""
+    held = cells.filter(F.coalesce("text", F.lit("")) != "")
     size = held.groupBy("doc_id").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
     rows = size.select("doc_id", "last_col", F.explode(F.sequence(F.lit(0), "last_row")).alias("row"))
     texts = held.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("by_col"))
@@ -193,13 +194,33 @@ def linked_data(meta: DataFrame) -> DataFrame:
 
 
 def image_size(content: Column) -> Column:
-    """struct(media_type, width, height) from the header of PNG and GIF bytes; null otherwise."""
+    """struct(media_type, width, height) from the header of PNG, GIF and JPEG bytes; null otherwise, or if a header is cut off."""
     head = F.hex(F.substring(content, 1, 24))
     number = lambda digits: F.conv(digits, 16, 10).cast("long")
     swapped = lambda at: number(F.concat(F.substring(head, at + 2, 2), F.substring(head, at, 2)))
-    png = F.struct(F.lit("image/png").alias("media_type"), number(F.substring(head, 33, 8)).alias("width"), number(F.substring(head, 41, 8)).alias("height"))
-    gif = F.struct(F.lit("image/gif").alias("media_type"), swapped(13).alias("width"), swapped(17).alias("height"))
-    return F.when(head.startswith("89504E470D0A1A0A") & (F.length(content) >= 24), png).when(head.startswith("474946383761") | head.startswith("474946383961"), gif)
+    size = lambda kind, width, height: F.struct(F.lit(kind).alias("media_type"), width.alias("width"), height.alias("height"))
+    png, gif = size("image/png", number(F.substring(head, 33, 8)), number(F.substring(head, 41, 8))), size("image/gif", swapped(13), swapped(17))
+    frame = F.pandas_udf(_jpeg_frames, "struct<width:long,height:long>")(F.when(head.startswith("FFD8FF"), content))
+    found = F.when(head.startswith("89504E470D0A1A0A") & (F.length(content) >= 24), png).when(head.startswith("474946383761") | head.startswith("474946383961"), gif)
+    return found.when(frame["width"].isNotNull(), size("image/jpeg", frame["width"], frame["height"]))
+
+
+def _jpeg_frames(contents: pd.Series) -> pd.DataFrame:
+    """Width and height in the first frame header of each JPEG, behind all segments before it."""
+
+    def frame(data: bytes | None) -> tuple[int | None, int | None]:
+        at = 2
+        while data and at + 9 <= len(data) and data[at] == 0xFF:
+            marker = data[at + 1]
+            if marker == 0xFF or marker == 1 or 0xD0 <= marker <= 0xD8:  # fill bytes and markers without a segment
+                at += 1 if marker == 0xFF else 2
+            elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                return int.from_bytes(data[at + 7 : at + 9]), int.from_bytes(data[at + 5 : at + 7])
+            else:
+                at += 2 + int.from_bytes(data[at + 2 : at + 4])
+        return None, None
+
+    return pd.DataFrame([frame(c) for c in contents], columns=["width", "height"]).astype("Int64")
 
 
 def ole2_kind(content: Column) -> Column:
@@ -211,16 +232,10 @@ def ole2_kind(content: Column) -> Column:
 
 
 def hyperlink_target(field: Column) -> Column:
-    """The target of a HYPERLINK field: the quoted word, or the first one that is no switch; null for other fields."""
-    quoted = F.regexp_extract(field, r'(?i)^\s*HYPERLINK\s+(?:\\[a-z]\s+)*"([^"]*)"', 1)
-    bare = F.regexp_extract(field, r"(?i)^\s*HYPERLINK\s+(?:\\[a-z]\s+)*([^\s\"\\]+)", 1)
-    return F.when(quoted != "", quoted).when(bare != "", bare)
-
-
-def list_style_level(name: Column) -> Column:
-    """The depth in a list style's name (List Bullet 2: 2), 1 without a number; null if it is no list style."""
-    number = F.regexp_extract(name, r"(?i)^list\s*(?:bullet|number|continue|paragraph)?\s*(\d*)$", 1)
-    return F.when(~name.rlike(r"(?i)^list\s*(?:bullet|number|continue|paragraph)?\s*\d*$"), F.lit(None).cast("int")).when(number == "", 1).otherwise(number.cast("int"))
+    """The target of a HYPERLINK (or hyperlink) field: what follows the name, up to the next quote if it is quoted, else its first word; null for other fields or without a target."""
+    rest = F.regexp_extract(field, r"(?s)^\s*(?:HYPERLINK|hyperlink)\s*(.*)$", 1)
+    target = F.when(rest.startswith('"'), F.regexp_extract(rest, r'(?s)^"([^"]*)', 1)).otherwise(F.regexp_extract(rest, r"^(\S*)", 1))
+    return F.when(target != "", target)
 
 
 def text_width(text: Column, size: Column) -> Column:

@@ -61,7 +61,7 @@ def cited_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUNS_SQL = LINES_SQL + ", runs AS (SELECT doc_id, block, text, CASE WHEN (doc_id + block) % 53 = 0 THEN 1.0 WHEN block % 2 = 0 THEN NULL ELSE 12.0 END AS size, (doc_id + block) % 71 = 0 AS hidden FROM lines) "
 
 
-@query(RUNS_SQL + "SELECT doc_id, 1 AS page_number, CAST(block AS INTEGER) AS block, substring(trim(text, ' '), 1, 200) AS text FROM runs WHERE (hidden OR coalesce(size <= 1, false)) AND trim(text, ' ') <> ''")
+@query(RUNS_SQL + "SELECT doc_id, 1 AS page_number, CAST(block AS INTEGER) AS block, trim(text, ' ') AS text FROM runs WHERE (hidden OR coalesce(size <= 1, false)) AND trim(text, ' ') <> ''")
 def hidden_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as runs, some hidden and some too small to be read."""
     at = F.col("doc_id") + F.col("block")
@@ -135,14 +135,15 @@ def caption_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(LINES_SQL + """
-, marked AS (SELECT doc_id, block, block % 5 IN (1, 2) OR regexp_matches(trim(text), '^([•◦▪‣·∙●○]|\\d{1,3}[.)])\\s*\\S') AS item FROM lines WHERE NOT (block % 5 IN (1, 2) AND trim(text) = '')),
-started AS (SELECT *, item AND NOT coalesce(lag(item) OVER (PARTITION BY doc_id ORDER BY block), false) AS begins FROM marked)
-SELECT doc_id, CAST(block AS INTEGER) AS block, CASE WHEN item THEN sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block) END AS list FROM started
+, marked AS (SELECT doc_id, block, CASE WHEN block % 5 = 1 THEN '-' WHEN block % 5 = 2 THEN CASE WHEN length(text) % 2 = 0 THEN '-' ELSE '1' END WHEN NOT regexp_matches(trim(text), '^([•◦▪‣·∙●○]|\\d{1,3}[.)])\\s*\\S') THEN '' WHEN regexp_matches(trim(text), '^\\d') THEN '1' ELSE '-' END AS marker FROM lines WHERE NOT (block % 5 IN (1, 2) AND trim(text) = '')),
+started AS (SELECT *, marker <> '' AND coalesce(lag(marker) OVER (PARTITION BY doc_id ORDER BY block), '') <> marker AS begins FROM marked)
+SELECT doc_id, CAST(block AS INTEGER) AS block, CASE WHEN marker <> '' THEN sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block) END AS list FROM started
 """)
 def list_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines, two of each five with a bullet."""
+    """Lines, two of each five as items: the first with a bullet, the second with a bullet or a number."""
     rows = _lines(spark, sf_dir).filter("NOT (block % 5 IN (1, 2) AND trim(text) = '')")
-    rows = rows.withColumn("text", F.when((F.col("block") % 5).isin(1, 2), F.concat(F.lit("• "), F.col("text"))).otherwise(F.col("text")))
+    marker = F.when((F.col("block") % 5 == 2) & (F.length("text") % 2 == 1), "12. ").otherwise("• ")
+    rows = rows.withColumn("text", F.when((F.col("block") % 5).isin(1, 2), F.concat(marker, F.col("text"))).otherwise(F.col("text")))
     return pj.list_groups(rows.select("doc_id", "block", "text")).select("doc_id", "block", "list")
 
 
@@ -160,7 +161,7 @@ def _order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = lines.select("doc_id").distinct().select("doc_id", F.lit(0).alias("row"), F.array(F.lit("line"), F.lit("mode")).alias("x"))
     body = lines.select("doc_id", "row", F.array(F.col("row").cast("string"), F.col("mode")).alias("x"))
     cells = head.unionByName(body).select("doc_id", "row", F.posexplode("x").alias("col", "text"))
-    return pj.square_grid(cells.unionByName(cells.filter("row = 0").select("doc_id", F.lit(99).alias("row"), F.lit(7).alias("col"), F.lit(" ").alias("text"))))
+    return pj.square_grid(cells.unionByName(cells.filter("row = 0").select("doc_id", F.lit(99).alias("row"), F.lit(7).alias("col"), F.lit("").alias("text"))))
 
 
 @query(ORDER_CELLS_SQL + "SELECT doc_id, row, cells[1] AS first_cell, cells[2] AS second_cell, len(cells) AS width FROM grid")
@@ -243,21 +244,33 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pj.delete_vectors(after, after.filter("vec_id % 7 = 3")).select("vec_id", "label")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('https://x.example/', c_custkey) END AS target, CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN NULL ELSE CAST(c_custkey % 4 AS INTEGER) END AS level FROM customer")
+@query(LINES_SQL + """
+, fields AS (SELECT doc_id, block, text, trim(text, ' ' || chr(9) || chr(13)) AS bare, length(text) % 11 AS n FROM lines)
+SELECT doc_id, CAST(block AS INTEGER) AS block, CASE block % 4 WHEN 0 THEN nullif(string_split(text, '"')[1], '') WHEN 1 THEN nullif(string_split_regex(bare, '\\s')[1], '') WHEN 2 THEN '\\o' END AS target,
+  CASE WHEN block % 3 < 2 AND n BETWEEN 2 AND 9 THEN CAST(n - 1 AS INTEGER) END AS level FROM fields
+""")
 def field_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields and style names made from customers."""
-    key = F.col("c_custkey")
-    url = F.concat(F.lit("https://x.example/"), key.cast("string"))
-    field = F.when(key % 3 == 0, F.lit("PAGE 3")).when(key % 3 == 1, F.concat(F.lit(' HYPERLINK \\o "'), url, F.lit('" '))).otherwise(F.concat(F.lit("hyperlink "), url))
-    style = F.when(key % 4 == 0, "List Bullet").when(key % 4 == 1, "Body Text").otherwise(F.concat(F.lit("List Number "), (key % 4).cast("string")))
-    return table(spark, sf_dir, "customer").select("c_custkey", pj.hyperlink_target(field).alias("target"), pj.list_style_level(style).alias("level"))
+    """Fields that link to each line, quoted, bare, behind a switch, and fields of other kinds; names of list styles with a number by the line's length."""
+    text, block = F.col("text"), F.col("block")
+    field = F.when(block % 4 == 0, F.concat(F.lit(' HYPERLINK "'), text, F.lit('" \\h'))).when(block % 4 == 1, F.concat(F.lit("hyperlink  "), text)).when(block % 4 == 2, F.concat(F.lit('HYPERLINK \\o "'), text, F.lit('"'))).otherwise(F.concat(F.lit("PAGE "), text))
+    n = (F.length("text") % 11).cast("string")
+    style = F.when(block % 3 == 0, F.concat(F.lit("List Bullet "), n)).when(block % 3 == 1, F.concat(F.lit("List_20_Number_20_"), n)).otherwise(F.concat(F.lit("List Paragraph "), n))
+    return _lines(spark, sf_dir).select("doc_id", "block", pj.hyperlink_target(field).alias("target"), tx.list_style_level(style).alias("level"))
 
 
-@query("SELECT p_partkey, 'image/png' AS media_type, p_partkey AS width, CAST(p_size AS BIGINT) AS height FROM part")
+@query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' ELSE 'image/gif' END AS media_type, p_partkey % 60000 + 1 AS width, CAST(p_size AS BIGINT) AS height FROM part
+""")
 def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PNG headers made from parts."""
-    digits = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 8, "0")
-    content = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), digits("p_partkey"), digits("p_size")))
+    """PNG, GIF and JPEG headers made from parts; a JPEG's frame comes behind segments of different lengths."""
+    width, height = F.col("p_partkey") % 60000 + 1, F.col("p_size").cast("long")
+    digits = lambda c, n: F.lpad(F.hex(c), n, "0")
+    little = lambda c: F.concat(F.substring(digits(c, 4), 3, 2), F.substring(digits(c, 4), 1, 2))
+    pad = F.col("p_partkey") % 200
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), digits(width, 8), digits(height, 8))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFFFFE"), digits(pad + 2, 4), F.repeat(F.lit("C0"), pad.cast("int")), F.lit("FFC4000300FFC2001108"), digits(height, 4), digits(width, 4), F.lit("03011100"))
+    gif = F.concat(F.lit("474946383961"), little(width), little(height), F.lit("000000"))
+    content = F.unhex(F.when(F.col("p_partkey") % 3 == 0, png).when(F.col("p_partkey") % 3 == 1, jpeg).otherwise(gif))
     return table(spark, sf_dir, "part").select("p_partkey", pj.image_size(content).alias("i")).select("p_partkey", "i.media_type", "i.width", "i.height")
 
 

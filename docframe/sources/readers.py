@@ -170,6 +170,24 @@ def package_formats(members: DataFrame) -> DataFrame:
     return members.withColumn("format", kind).filter("format is not null").groupBy("doc_id").agg(F.min_by("format", F.when(F.col("name") == "mimetype", 0).otherwise(1)).alias("format"))
 
 
+def detect_files(files: DataFrame) -> DataFrame:
+    """doc_id, format, error_kind of files (doc_id, hint, content): archives by their members, OLE2 containers by their streams.
+
+    error_kind: unsupported for known formats that are not read (a bare image, PostScript), unknown for bytes of no known format, and what zip_members says of an archive that it can't open.
+    """
+    from docframe.operators.projections import ole2_kind
+    from docframe.sources.detect import detect
+
+    found = files.select("doc_id", "content", detect(F.col("content"), F.col("hint")).alias("format"))
+    inner = zip_members(found.filter("format = 'zip'"))
+    packages = package_formats(inner.filter("error_kind is null"))
+    broken = inner.filter("error_kind is not null").groupBy("doc_id").agg(F.first("error_kind").alias("broken"))
+    rows = found.withColumn("ole2", F.when(F.col("format") == "ole2", ole2_kind(F.col("content")))).join(packages.withColumnRenamed("format", "package"), "doc_id", "left").join(broken, "doc_id", "left")
+    format = F.when(F.col("format") == "zip", F.col("package")).when(F.col("format") == "ole2", F.col("ole2")).when(~F.col("format").isin("png", "jpeg", "ps"), F.col("format"))
+    error = F.when(F.col("broken").isNotNull(), F.col("broken")).when(F.col("format").isin("png", "jpeg", "ps"), "unsupported").when(format.isNull(), "unknown")
+    return rows.select("doc_id", format.alias("format"), error.alias("error_kind"))
+
+
 def _elements(xml: Column, tag: str) -> Column:
     return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?:\s[^>]*[^/])?>(.*?)</{tag}>"), F.lit(1))
 
