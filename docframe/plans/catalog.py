@@ -233,6 +233,12 @@ def edit_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_log.winners(merged).drop("ts_ms")
 
 
+@query(OPS_SQL + "SELECT doc_id, node_counter, node_actor, content, counter, actor FROM live")
+def edit_stream_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream, twice and out of order, with the state of each node kept from batch to batch."""
+    return flows.replay(_ops(spark, sf_dir), flows.shared_folder(spark))
+
+
 @query(OPS_SQL + "SELECT doc_id, actor, count(*) AS edits FROM ops GROUP BY doc_id, actor")
 def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_log.edit_counts(_ops(spark, sf_dir))
