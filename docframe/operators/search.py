@@ -97,46 +97,47 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, *, key: str = "
     return found.orderBy(F.desc(F.round("score", 6)), key).limit(k)
 
 
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, *, key: str = "vec_id", column: str = "embedding", block: int = 4096) -> DataFrame:
-    """query_id, key, score: for each row of queries (keys are distinct) the k rows of largest cosine; ties by key. Rows of another length, or with
-    nulls, are dropped. `block` queries at a time meet all rows; each batch of rows keeps k for each query, so that only those are shuffled."""
-    own = vectors.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("vector"))
-    asked = queries.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("vector")).dropna()
-    found, some = [], []
-
-    def meet(part: list) -> DataFrame:
-        by_size: dict[int, list] = {}
-        for r in part:
-            if None not in r["vector"]:
-                by_size.setdefault(len(r["vector"]), []).append(r)
-        sizes = {n: (np.array([r["key"] for r in rows]), _unit(np.array([r["vector"] for r in rows]).reshape(len(rows), n))) for n, rows in by_size.items()}
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows: dict[int, tuple[list, list]] = {}
-                for i, v in zip(batch.column("key").to_pylist(), batch.column("vector").to_pylist(), strict=True):
-                    if i is not None and v is not None and len(v) in sizes and None not in v:
-                        held = rows.setdefault(len(v), ([], []))
-                        held[0].append(i)
-                        held[1].append(v)
-                for n, (ids, vs) in rows.items():
-                    keys, at = np.array(ids), _unit(np.array(vs).reshape(len(vs), n))
-                    for q, target in zip(*sizes[n], strict=True):
-                        score = at @ target
-                        good = np.nonzero(~np.isnan(score))[0]
-                        best = good[np.lexsort((keys[good], -np.round(score[good], 6)))[:k]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(keys[best]), pa.array(score[best])], ["query_id", key, "score"])
-
-        return own.mapInArrow(run, f"query_id long, {key} long, score double")
-
-    for r in asked.toLocalIterator():
-        some.append(r)
-        if len(some) == block:
-            found.append(meet(some))
-            some = []
-    kept = meet(some)
-    for f in found:
-        kept = kept.unionByName(f)
+def _packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """(gid, dims, ids, units: rows of `key` and `vector` in blocks of about `size`, by a hash of the key and by length; how many values gid has)."""
+    parts = max(1, -(-rows.count() // size))
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids = table.column("key").to_numpy()
+        units = _unit(np.array(table.column("vector").to_pylist(), dtype=np.float64).reshape(len(ids), -1))
+        sound = ~np.isnan(units).any(axis=1)
+        row = [table.column("gid")[0].as_py(), table.column("dims")[0].as_py(), ids[sound].tobytes(), units[sound].tobytes()]
+        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["gid", "dims", "ids", "units"])
+
+    gid = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("long")
+    return rows.select(gid.alias("gid"), F.size("vector").alias("dims"), "key", "vector").groupBy("gid", "dims").applyInArrow(pack, "gid long, dims int, ids binary, units binary"), parts
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, *, key: str = "vec_id", column: str = "embedding", block: int = 1024) -> DataFrame:
+    """query_id, key, score: for each row of queries (keys are distinct) the k rows of largest cosine; ties by key.
+
+    Rows of another length, or with nulls, are dropped; so are those without a direction because a component is not finite. Queries are
+    packed into blocks of about `block`, rows into blocks four times as large; each block of queries goes to each block of rows, and a pair
+    of blocks keeps k rows for each query.
+    """
+    sound = lambda df: df.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("vector")).filter("key is not null and vector is not null and not exists(vector, x -> x is null)")
+    rows, parts = _packed(sound(vectors), 4 * block)
+    asked, _ = _packed(sound(queries), block)
+    sent = asked.select("dims", F.col("ids").alias("q_ids"), F.col("units").alias("q_units"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("gid"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, q_ids = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("ids", "q_ids"))
+                if not len(ids) or not len(q_ids):
+                    continue
+                units, q_units = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(n, -1) for c, n in (("units", len(ids)), ("q_units", len(q_ids))))
+                scores = q_units @ units.T
+                rounded, most = np.round(scores, 6), min(k, len(ids))
+                bars = -np.partition(-rounded, most - 1, axis=1)[:, most - 1]
+                best = [reach[np.lexsort((ids[reach], -r[reach]))[:k]] for r, reach in ((r, np.flatnonzero(r >= bar)) for r, bar in zip(rounded, bars, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(x) for x in best])), pa.array(np.concatenate([ids[x] for x in best])), pa.array(np.concatenate([scores[j][x] for j, x in enumerate(best)]))], ["query_id", key, "score"])
+
+    kept = sent.join(rows, ["gid", "dims"]).select("ids", "units", "q_ids", "q_units").mapInArrow(run, f"query_id long, {key} long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), key))
     return kept.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", key, "score")
 
