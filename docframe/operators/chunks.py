@@ -73,5 +73,6 @@ def sliding(docs: DataFrame, size: int, step: int) -> DataFrame:
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     rows = docs.select("doc_id", words.alias("words")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(step))
-    rows = rows.select("doc_id", "words", F.posexplode(starts).alias("chunk_id", "start"))
-    return rows.select("doc_id", "chunk_id", F.array_join(F.slice("words", F.col("start") + 1, F.lit(size)), " ").alias("content"), F.least(F.lit(size), F.size("words") - F.col("start")).alias("token_count"))
+    # each window is cut before rows are made of them, so that no row carries the whole text
+    window = lambda at: F.struct(F.array_join(F.slice("words", at + 1, F.lit(size)), " ").alias("content"), F.least(F.lit(size), F.size("words") - at).alias("token_count"))
+    return rows.select("doc_id", F.posexplode(F.transform(starts, window)).alias("chunk_id", "w")).select("doc_id", "chunk_id", "w.content", "w.token_count")

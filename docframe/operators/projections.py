@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from docframe.functions.text import caption_kind, list_marker, word_count
+from docframe.operators.structure import heading_tree
 
 # Sizes in points and lengths in characters at which behaviour changes.
 UNREADABLE = 1.0
@@ -39,19 +40,18 @@ def metadata(docs: DataFrame) -> DataFrame:
 
 def outline(blocks: DataFrame) -> DataFrame:
     """The headings in order, with their place in the outline and the nearest heading above of a smaller level as parent (null at the top)."""
-    heads = blocks.filter("kind = 'heading'").select("doc_id", "block", "level", "text")
-    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    above = F.filter(F.collect_list(F.struct("block", "level")).over(before), lambda h: h["level"] < F.col("level"))
-    return heads.withColumn("parent", F.get(F.reverse(above), F.lit(0))["block"])
+    heads = blocks.filter("kind = 'heading'").select("doc_id", "block", "kind", "level", "text")
+    return heading_tree(heads).select("doc_id", "block", "level", "text", F.col("parent_heading").alias("parent"))
 
 
 def identifiers(docs: DataFrame) -> DataFrame:
     """doc_id, kind (doi, arxiv, pmid, isbn), value: each different one of a text."""
-    found = []
-    for kind, pattern in IDENTIFIERS.items():
-        values = F.regexp_extract_all("text", F.lit(pattern), F.lit(0 if kind == "doi" else 1))
-        found.append(docs.select("doc_id", F.lit(kind).alias("kind"), F.explode(F.array_distinct(values)).alias("value")))
-    return reduce(DataFrame.unionByName, found)
+    def values(kind: str, pattern: str) -> Column:
+        different = F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0 if kind == "doi" else 1)))
+        return F.transform(different, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    each = [values(kind, pattern) for kind, pattern in IDENTIFIERS.items()]
+    return docs.select("doc_id", F.inline(F.concat(*each)))
 
 
 def citations(chunks: DataFrame, bibliography: DataFrame) -> DataFrame:

@@ -62,3 +62,14 @@ def test_files_in_containers(spark):
     ]
     files = spark.createDataFrame([(i, None, c) for i, (c, _, _) in enumerate(cases)], "doc_id long, hint string, content binary")
     assert {r["doc_id"]: (r["format"], r["error_kind"]) for r in readers.detect_files(files).collect()} == {i: (f, e) for i, (_, f, e) in enumerate(cases)}
+
+
+def test_outline_hangs_headings_in_headings(spark):
+    blocks = spark.createDataFrame([(1, 0, "heading", 1, "a"), (1, 1, "paragraph", 0, "x"), (1, 2, "heading", 3, "b"), (1, 3, "heading", 2, "c"), (1, 4, "heading", 2, "d"), (2, 0, "paragraph", 0, "y")], "doc_id long, block int, kind string, level int, text string")
+    assert [tuple(r) for r in pj.outline(blocks).orderBy("doc_id", "block").collect()] == [(1, 0, 1, "a", None), (1, 2, 3, "b", 0), (1, 3, 2, "c", 0), (1, 4, 2, "d", 0)]
+
+
+def test_identifiers_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, "doi:10.1234/x.7, 10.1234/x.7 and arXiv:2101.00007; PMID: 12"), (2, None), (3, ""), (4, "none")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in pj.identifiers(docs).collect())
+    assert [(d, k) for d, k, _ in got] == [(1, "arxiv"), (1, "doi"), (1, "pmid")]
