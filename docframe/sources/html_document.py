@@ -97,11 +97,11 @@ def element_styles(found: DataFrame, rules: DataFrame, key: str = "page_id") ->
 
 
 class _OpenElements:
-    """For each token of pages that come one after the other, sorted: (how many lists are open, the nearest open element of each scope or -1, the style in force)."""
+    """For each token of pages that come one after the other, sorted: (how many lists are open, the level of the heading or 0, the attributes of the link or None, the nearest open element of each scope or -1, the style in force)."""
 
     def __init__(self) -> None:
-        self.key, self.stack = None, []  # of an open element: place, tag, style, scopes, open lists
-        self.bottom = (-1, "", (False,) * len(STYLES), [-1] * len(SCOPES), 0)
+        self.key, self.stack = None, []  # of an open element: place, tag, style, scopes, (open lists, heading, link)
+        self.bottom = (-1, "", (False,) * len(STYLES), [-1] * len(SCOPES), (0, 0, None))
 
     def close_to(self, ends: tuple[str, ...], walls: tuple[str, ...]) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -131,35 +131,36 @@ class _OpenElements:
                 walls = () if tag == "table" else ("td", "th")
             self.close_to((tag,), walls)
 
-    def follow(self, keys: list, places: list[int], kinds: list[str], tags: list[str], styles: list[list]) -> list[tuple]:
+    def follow(self, keys: list, places: list[int], kinds: list[str], tags: list[str], attrs: list[str], styles: list[list]) -> list[tuple]:
         names, out = list(SCOPES.values()), []
-        for key, place, kind, tag, own in zip(keys, places, kinds, tags, styles, strict=True):
+        for key, place, kind, tag, said, own in zip(keys, places, kinds, tags, attrs, styles, strict=True):
             if key != self.key:
                 self.key, self.stack = key, []
             self.before(kind, tag)
-            _, _, style, scopes, lists = self.stack[-1] if self.stack else self.bottom
+            _, _, style, scopes, (lists, heading, link) = self.stack[-1] if self.stack else self.bottom
             if kind == "open":
                 inner = tuple(b if a is None else bool(a) or (i == 0 and b) for i, (a, b) in enumerate(zip(own, style, strict=True)))
-                out.append((lists, *scopes, *inner))
-                self.stack.append((place, tag, inner, [place if tag in n else s for n, s in zip(names, scopes, strict=True)], lists + (tag in ("ul", "ol"))))
+                out.append((lists, heading, link, *scopes, *inner))
+                around = (lists + (tag in ("ul", "ol")), int(tag[1]) if tag in HEADINGS else 0 if tag == "p" else heading, said if tag == "a" else link)
+                self.stack.append((place, tag, inner, [place if tag in n else s for n, s in zip(names, scopes, strict=True)], around))
             else:
-                out.append((lists, *scopes, *style))
+                out.append((lists, heading, link, *scopes, *style))
         return out
 
 
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """tokens() with the number of open lists (lists), the place of the nearest open element of each scope (in_<scope>, -1: none) and the style in force at the token."""
+    """tokens() with the number of open lists (lists), the level of the heading that it lies in or 0 (heading), the attributes of its link (link), the place of the nearest open element of each scope (in_<scope>, -1: none) and the style in force at the token."""
     found = tokens(pages, key, html)
     styled = found.join(element_styles(found, style_rules(pages, key, html), key), [key, "at"], "left")
-    columns = ["lists", *[f"in_{s}" for s in SCOPES], *STYLES]
+    columns = ["lists", "heading", "link", *[f"in_{s}" for s in SCOPES], *STYLES]
     kind = dict(styled.dtypes)[key]
-    schema = f"{key} {kind}, at int, kind string, tag string, attrs string, text string, lists int, " + ", ".join([*[f"in_{s} int" for s in SCOPES], *[f"{s} boolean" for s in STYLES]])
+    schema = f"{key} {kind}, at int, kind string, tag string, attrs string, text string, lists int, heading int, link string, " + ", ".join([*[f"in_{s} int" for s in SCOPES], *[f"{s} boolean" for s in STYLES]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = _OpenElements()
         for batch in batches:
             own = batch[STYLES].astype(object)
-            found = state.follow(batch[key].tolist(), batch["at"].tolist(), batch["kind"].tolist(), batch["tag"].tolist(), own.where(own.notna(), None).values.tolist())
+            found = state.follow(batch[key].tolist(), batch["at"].tolist(), batch["kind"].tolist(), batch["tag"].tolist(), batch["attrs"].tolist(), own.where(own.notna(), None).values.tolist())
             yield pd.concat([batch.drop(columns=STYLES), pd.DataFrame(found, columns=columns, index=batch.index)], axis=1)
 
     return styled.select(key, "at", "kind", "tag", "attrs", "text", *STYLES).repartition(key).sortWithinPartitions(key, "at").mapInPandas(run, schema)
@@ -176,10 +177,9 @@ def runs(found: DataFrame, key: str = "page_id") -> DataFrame:
     edge = F.col("tag").isin(*BLOCKS) & (F.col("kind") != "text")
     order = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = found.withColumn("block", F.sum(F.when(edge, 1).otherwise(0)).over(order))
-    links = found.filter("kind = 'open' and tag = 'a'").select(F.col(key).alias("_key"), F.col("at").alias("_at"), attribute(F.col("attrs"), "href").alias("href"))
     text = F.when(F.col("tag") == "br", "\n").when(F.col("in_pre") >= 0, F.col("text")).otherwise(F.regexp_replace("text", r"\s+", " "))
     rows = _in_document(rows.filter("kind = 'text' or tag = 'br'")).withColumn("text", text).filter("text <> ''")
-    return rows.join(links, (F.col(key) == F.col("_key")) & (F.col("in_link") == F.col("_at")), "left").drop("_key", "_at", "attrs", "kind", "tag")
+    return rows.withColumn("href", F.when(F.col("in_link") >= 0, attribute(F.col("link"), "href"))).drop("attrs", "kind", "tag", "link")
 
 
 def blocks(found: DataFrame, key: str = "page_id") -> DataFrame:
@@ -188,15 +188,14 @@ def blocks(found: DataFrame, key: str = "page_id") -> DataFrame:
     level: of a heading 1 to 6, of a list item the number of lists around it. hidden: all of its text is.
     """
     parts = F.sort_array(F.collect_list(F.struct("at", "text", "hidden")))
-    scopes = ["lists", *[f"in_{s}" for s in SCOPES]]
+    scopes = ["lists", "heading", *[f"in_{s}" for s in SCOPES]]
     whole = runs(found, key).groupBy(key, "block").agg(parts.alias("parts"), F.min("hidden").alias("hidden"), *[F.first(s).alias(s) for s in scopes])
     raw = F.array_join(F.transform("parts", lambda p: p["text"]), "")
     text = F.when(F.col("in_pre") >= 0, F.regexp_replace(raw, r"^\n+|\n+$", "")).otherwise(F.trim(F.regexp_replace(F.regexp_replace(raw, r" *\n *", "\n"), r" +|^\n+|\n+$", " ")))
-    tags = found.filter(F.col("tag").isin(*HEADINGS) & (F.col("kind") == "open")).select(F.col(key).alias("_key"), F.col("at").alias("_at"), F.substring("tag", 2, 1).cast("int").alias("heading"))
-    whole = whole.withColumn("text", text).filter("trim(text) <> ''").join(tags, (F.col(key) == F.col("_key")) & (F.col("in_para") == F.col("_at")), "left")
+    whole = whole.withColumn("text", text).filter("trim(text) <> ''")
     inner = F.greatest("in_item", "in_cell", "in_caption", "in_quote")
     kind = (
-        F.when(F.col("in_pre") >= 0, "code").when(F.col("heading").isNotNull(), "heading").when(inner < 0, "paragraph")
+        F.when(F.col("in_pre") >= 0, "code").when(F.col("heading") > 0, "heading").when(inner < 0, "paragraph")
         .when(inner == F.col("in_item"), "list_item").when(inner == F.col("in_cell"), "cell").when(inner == F.col("in_caption"), "caption").otherwise("quote")
     )
     level = F.when(kind == "heading", F.col("heading")).when(kind == "list_item", F.col("lists")).otherwise(0)
