@@ -72,14 +72,18 @@ def style_rules(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 
 
 def element_styles(found: DataFrame, rules: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, at, and what each element declares about its text (null: nothing). In the cascade the tag's rules come first, then those of its classes as written, of its id, then its own style."""
-    elements = found.filter("kind = 'open'").select(key, "at", "tag", *[attribute(F.col("attrs"), a).alias(a) for a in ("class", "id", "style", "hidden", "aria-hidden")])
+    """key, at, and what an element declares about its text (null: nothing); elements that declare nothing may be left out. In the cascade the tag's rules come first, then those of its classes as written, of its id, then its own style."""
+    opened = found.filter("kind = 'open'")
+    styled = [tag for tags in TAG_STYLES.values() for tag in tags]
+    elements = opened.filter((F.trim("attrs") != "") | F.col("tag").isin(*styled)).select(key, "at", "tag", *[attribute(F.col("attrs"), a).alias(a) for a in ("class", "id", "style", "hidden", "aria-hidden")])
     said = lambda kind, name, place: F.struct(F.lit(kind).alias("kind"), F.lower(name).alias("name"), place.alias("place"))
     classes = F.transform(F.filter(F.split(F.coalesce("class", F.lit("")), r"\s+"), lambda c: c != ""), lambda c, i: said("class", c, i + 1))
     ids = F.when(F.col("id").isNotNull(), F.array(said("id", F.trim("id"), F.lit(1_000_000)))).otherwise(F.array().cast("array<struct<kind:string,name:string,place:int>>"))
-    names = elements.select(key, "at", F.inline(F.concat(F.array(said("tag", F.col("tag"), F.lit(0))), classes, ids)))
-    matched = names.join(rules, [key, "kind", "name"]).groupBy(key, "at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "rule", "declarations"))), lambda x: x["declarations"]), ";").alias("ruled"))
-    rows = elements.join(matched, [key, "at"], "left")
+    names = elements.select(key, "at", F.inline(F.concat(classes, ids)))
+    by_tag = opened.select(key, "at", F.lit("tag").alias("kind"), F.col("tag").alias("name"), F.lit(0).alias("place"))
+    hits = names.join(rules, [key, "kind", "name"]).unionByName(by_tag.join(rules.filter("kind = 'tag'"), [key, "kind", "name"]))
+    matched = hits.groupBy(key, "at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "rule", "declarations"))), lambda x: x["declarations"]), ";").alias("ruled"))
+    rows = elements.join(matched, [key, "at"], "full")
     css = F.lower(F.regexp_replace(F.concat_ws(";", "ruled", "style"), r"\s+", ""))
     last = lambda pattern: F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(css, F.lit(rf"(?:^|;){pattern}:([^;]*)"), F.lit(1))), -1)
     weight, slope, line = last("font-weight"), last("font-style"), last("text-decoration(?:-line)?")
