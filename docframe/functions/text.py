@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Bullet glyphs, caption openings, date format ids of spreadsheets.
-BULLETS = "•◦▪‣·∙●○"
+BULLETS = "•◦▪‣·–*-"
 CAPTIONS = ("figure", "fig.", "fig", "chart", "table")
 DATE_IDS = (*range(14, 23), *range(27, 37), *range(45, 48))
 
@@ -37,7 +37,7 @@ def heading_level(size: Column, body: Column) -> Column:
 
 def list_marker(text: Column) -> Column:
     """The marker that opens a list item, or ''."""
-    return F.regexp_extract(F.trim(text), rf"^([{BULLETS}]|\d{{1,3}}[.)])\s*\S", 1)
+    return F.regexp_extract(F.trim(text), rf"^([{BULLETS}]|[0-9]{{1,3}}[.)])\s*\S", 1)
 
 
 def caption_kind(text: Column) -> Column:

@@ -27,11 +27,11 @@ def break_lines(blocks: DataFrame) -> DataFrame:
 
 
 def typeset(blocks: DataFrame) -> DataFrame:
-    """Fragments of all blocks: lines of 1.25 sizes, three quarters of a size after a block, a new page where the text area ends."""
+    """Fragments of all blocks: lines of 1.25 sizes, as much again after a block (layout ends a paragraph at over 1.4 sizes), a new page where the text area ends."""
     rows = break_lines(blocks)
     order = Window.partitionBy("doc_id").orderBy("block", "line_idx")
     last = F.coalesce(F.lead("block").over(order) != F.col("block"), F.lit(True))
-    rows = rows.withColumn("step", F.col("font_size") * (1.25 + F.when(last, 0.75).otherwise(0.0)))
+    rows = rows.withColumn("step", F.col("font_size") * (1.25 + F.when(last, 1.25).otherwise(0.0)))
     area = PAGE_HEIGHT - 2 * MARGIN
     before = F.coalesce(F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rows = rows.withColumn("top", before).withColumn("page_number", (F.floor(F.col("top") / area) + 1).cast("int")).filter(F.col("page_number") <= MOST_PAGES)

@@ -408,22 +408,89 @@ def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FRAGMENT_SQL + """
 SELECT doc_id, page_number, CAST(frag_idx AS INTEGER) AS frag_idx, CASE WHEN font_size / 12.0 <= 1.18 THEN 0 WHEN font_size / 12.0 >= 2 THEN 1 WHEN font_size / 12.0 >= 1.6 THEN 2 WHEN font_size / 12.0 >= 1.35 THEN 3 ELSE 4 END AS level,
-  regexp_extract(trim(text), '^([•◦▪‣·∙●○]|\\d{1,3}[.)])\\s*\\S', 1) AS marker FROM fragments
+  regexp_extract(trim(text), '^([•◦▪‣·–*-]|\\d{1,3}[.)])\\s*\\S', 1) AS marker FROM fragments
 """)
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     fragments, _ = _fragments(spark, sf_dir)
     return fragments.select("doc_id", "page_number", "frag_idx", tx.heading_level(F.col("font_size"), F.lit(12.0)).alias("level"), tx.list_marker(F.col("text")).alias("marker"))
 
 
-@query()
+BLOCKS_SQL = FRAGMENT_SQL + """,
+shown AS (SELECT * FROM flagged WHERE reason IS NULL AND regexp_matches(text, '\\S')),
+sizes AS (SELECT doc_id, page_number, arg_max(font_size, uses * 1000 - font_size) AS body FROM (SELECT doc_id, page_number, font_size, count(*) AS uses FROM shown GROUP BY ALL) GROUP BY ALL),
+kinds AS (SELECT s.*, font_size > 1.18 * body AS heading, body, regexp_extract(text, '^\\s*((?:[•◦▪‣·–*-]|[0-9]{1,3}[.)])\\s*)\\S', 1) AS marker FROM shown s JOIN sizes USING (doc_id, page_number)),
+named AS (SELECT *, CASE WHEN heading THEN 'heading' WHEN marker <> '' THEN 'list_item' ELSE 'paragraph' END AS kind FROM kinds),
+starts AS (SELECT *, kind <> 'paragraph' OR coalesce(lag(kind) OVER w <> 'paragraph', true) OR y - lag(y + height) OVER w > 1.4 * font_size AS fresh FROM named WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY frag_idx)),
+numbered AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_number ORDER BY frag_idx) AS block_idx,
+  CASE WHEN kind = 'list_item' THEN regexp_replace(text, '^\\s*(?:[•◦▪‣·–*-]|[0-9]{1,3}[.)])\\s*', '') ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS bare FROM starts),
+blocks AS (SELECT doc_id, page_number, CAST(block_idx AS BIGINT) AS block_idx, first(kind) AS kind, CASE WHEN first(kind) <> 'heading' THEN 0 WHEN first(font_size / body) >= 2 THEN 1 WHEN first(font_size / body) >= 1.6 THEN 2 WHEN first(font_size / body) >= 1.35 THEN 3 ELSE 4 END AS level,
+  string_agg(bare, ' ' ORDER BY frag_idx) AS text FROM numbered GROUP BY doc_id, page_number, block_idx)
+"""
+MARKDOWN_SQL = """,
+pages AS (SELECT f.doc_id, f.page_number, coalesce(b.page, '') AS page FROM (SELECT DISTINCT doc_id, page_number FROM fragments) f LEFT JOIN (
+  SELECT doc_id, page_number, string_agg(CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text || chr(10) || chr(10) WHEN 'list_item' THEN '- ' || text || chr(10) ELSE text || chr(10) || chr(10) END, '' ORDER BY block_idx) AS page FROM blocks GROUP BY ALL) b
+  ON b.doc_id = f.doc_id AND b.page_number = f.page_number)
+SELECT doc_id, regexp_replace(regexp_replace(string_agg(page, chr(10) || '---' || chr(10) || chr(10) ORDER BY page_number), '\\n{3,}', chr(10) || chr(10), 'g'), '\\s+$', '') AS markdown FROM pages
+"""
+
+
+@query(BLOCKS_SQL + "SELECT doc_id, page_number, block_idx, kind, level, text FROM blocks")
 def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     fragments, pages = _fragments(spark, sf_dir)
-    return layout.blocks(layout.sanitized(fragments, pages))
+    return layout.blocks(layout.sanitized(fragments, pages), pages)
 
 
-@query()
+@query(BLOCKS_SQL + MARKDOWN_SQL + "GROUP BY doc_id")
 def layout_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.to_markdown(layout_blocks(spark, sf_dir))
+    return layout.to_markdown(layout_blocks(spark, sf_dir), _fragments(spark, sf_dir)[1])
+
+
+@query(BLOCKS_SQL + MARKDOWN_SQL + "WHERE page_number BETWEEN 2 AND 3 GROUP BY doc_id")
+def layout_markdown_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page range itself: pages 2 to 3 of every document."""
+    return layout.to_markdown(layout_blocks(spark, sf_dir), _fragments(spark, sf_dir)[1], 2, 3)
+
+
+@query(BLOCKS_SQL + """
+SELECT doc_id, page_number AS section, CAST(block AS INTEGER) AS block, CASE kind WHEN 'list_item' THEN 'list' ELSE kind END AS kind, CASE WHEN kind = 'heading' THEN level END AS level,
+  CASE WHEN kind = 'list_item' THEN CAST(row_number() OVER (PARTITION BY doc_id, page_number, block ORDER BY block_idx) - 1 AS INTEGER) END AS item, text
+FROM (SELECT *, block_idx - 1 - count(*) FILTER (WHERE kind = 'list_item' AND before = 'list_item') OVER (PARTITION BY doc_id, page_number ORDER BY block_idx) AS block FROM (
+  SELECT *, lag(kind) OVER (PARTITION BY doc_id, page_number ORDER BY block_idx) AS before FROM blocks))
+""")
+def layout_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout found on pages as an authored document, with its lists."""
+    return layout.semantic_blocks(layout_blocks(spark, sf_dir))
+
+
+WORDS_SQL = """
+WITH words AS (SELECT doc_id, unnest(list) AS text, generate_subscripts(list, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS list FROM documents)),
+placed AS (SELECT doc_id, text, CAST(i // 320 + 1 AS INTEGER) AS page_number, i % 320 AS frag_idx, i % 320 // 160 AS side, i % 160 // 4 AS line, i % 4 AS k, 30.0 + length(text) % 4 * 5 AS width FROM words),
+spots AS (SELECT *, 72.0 + 258 * side + 50 * k AS x, 72.0 + 16 * line + 0.5 * k AS y FROM placed),
+split AS (SELECT *, count(*) OVER p >= 8 AND count(*) FILTER (WHERE side = 1) OVER p >= greatest(3, ceil(0.15 * count(*) OVER p)) AS two FROM spots WINDOW p AS (PARTITION BY doc_id, page_number)),
+homes AS (SELECT *, CASE WHEN two THEN side ELSE 0 END AS column_idx FROM split),
+gaps AS (SELECT *, x - max(x + width) OVER (PARTITION BY doc_id, page_number, column_idx, line ORDER BY y, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 3 AS gap FROM homes)
+"""
+
+
+def _word_fragments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All words of all documents, set in two columns of 40 slanting lines of four words, and the pages' sizes."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("i", "text"))
+    i = F.col("i") % 320
+    side, line, k = F.floor(i / 160), F.floor(i % 160 / 4), i % 4
+    rows = words.select(
+        "doc_id", (F.floor(F.col("i") / 320) + 1).cast("int").alias("page_number"), i.alias("frag_idx"), "text", (72.0 + 258.0 * side + 50.0 * k).alias("x"), (72.0 + 16.0 * line + 0.5 * k).alias("y"),
+        (30.0 + F.length("text") % 4 * 5.0).alias("width"), F.lit(12.0).alias("height"), F.lit(12.0).alias("font_size"),
+    )
+    return rows, rows.select("doc_id", "page_number").distinct().select("doc_id", "page_number", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+
+
+@query(WORDS_SQL + """
+SELECT doc_id, page_number, CAST(column_idx AS INTEGER) AS column_idx, CAST(line AS INTEGER) AS line_idx, string_agg(CASE WHEN gap THEN ' ' ELSE '' END || text, '' ORDER BY y, x) AS text, CAST(min(x) AS DOUBLE) AS x, CAST(max(x + width) AS DOUBLE) AS x1
+FROM gaps GROUP BY doc_id, page_number, column_idx, line
+""")
+def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words on pages of two columns, and the lines found there; the SQL knows how they were set."""
+    return layout.lines(*_word_fragments(spark, sf_dir)).select("doc_id", "page_number", "column_idx", "line_idx", "text", "x", "x1")
 
 
 @query("""
