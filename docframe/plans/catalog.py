@@ -473,15 +473,19 @@ gaps AS (SELECT *, x - max(x + width) OVER (PARTITION BY doc_id, page_number, co
 
 
 def _word_fragments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All words of all documents, set in two columns of 40 slanting lines of four words, and the pages' sizes."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("i", "text"))
-    i = F.col("i") % 320
+    """All words of all documents, set in two columns of 40 slanting lines of four words, and the pages' sizes. Pages are dealt as texts, and become fragments where they are needed."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    texts = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).filter(F.size("words") > 0)
+    starts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 320).cast("int"))
+    parts = texts.select("doc_id", F.posexplode(F.transform(starts, lambda n: F.slice("words", n * 320 + 1, 320))).alias("n", "words"))
+    sheets = parts.select("doc_id", (F.col("n") + 1).alias("page_number"), "words").repartition("doc_id", "page_number")
+    i = F.col("i")
     side, line, k = F.floor(i / 160), F.floor(i % 160 / 4), i % 4
-    rows = words.select(
-        "doc_id", (F.floor(F.col("i") / 320) + 1).cast("int").alias("page_number"), i.alias("frag_idx"), "text", (72.0 + 258.0 * side + 50.0 * k).alias("x"), (72.0 + 16.0 * line + 0.5 * k).alias("y"),
+    rows = sheets.select("doc_id", "page_number", F.posexplode("words").alias("i", "text")).select(
+        "doc_id", "page_number", i.alias("frag_idx"), "text", (72.0 + 258.0 * side + 50.0 * k).alias("x"), (72.0 + 16.0 * line + 0.5 * k).alias("y"),
         (30.0 + F.length("text") % 4 * 5.0).alias("width"), F.lit(12.0).alias("height"), F.lit(12.0).alias("font_size"),
     )
-    return rows, rows.select("doc_id", "page_number").distinct().select("doc_id", "page_number", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    return rows, sheets.select("doc_id", "page_number", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
 
 
 @query(WORDS_SQL + """
