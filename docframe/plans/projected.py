@@ -135,7 +135,7 @@ def caption_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(LINES_SQL + """
-, marked AS (SELECT doc_id, block, CASE WHEN block % 5 = 1 THEN '-' WHEN block % 5 = 2 THEN CASE WHEN length(text) % 2 = 0 THEN '-' ELSE '1' END WHEN NOT regexp_matches(trim(text), '^([•◦▪‣·∙●○]|\\d{1,3}[.)])\\s*\\S') THEN '' WHEN regexp_matches(trim(text), '^\\d') THEN '1' ELSE '-' END AS marker FROM lines WHERE NOT (block % 5 IN (1, 2) AND trim(text) = '')),
+, marked AS (SELECT doc_id, block, CASE WHEN block % 5 = 1 THEN '-' WHEN block % 5 = 2 THEN CASE WHEN length(text) % 2 = 0 THEN '-' ELSE '1' END WHEN NOT regexp_matches(trim(text), '^([•◦▪‣·–*-]|\\d{1,3}[.)])\\s*\\S') THEN '' WHEN regexp_matches(trim(text), '^\\d') THEN '1' ELSE '-' END AS marker FROM lines WHERE NOT (block % 5 IN (1, 2) AND trim(text) = '')),
 started AS (SELECT *, marker <> '' AND coalesce(lag(marker) OVER (PARTITION BY doc_id ORDER BY block), '') <> marker AS begins FROM marked)
 SELECT doc_id, CAST(block AS INTEGER) AS block, CASE WHEN marker <> '' THEN sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block) END AS list FROM started
 """)
