@@ -130,3 +130,13 @@ def test_windows_on_stream_equal_batch(spark, tmp_path):
     key = lambda r: (str(r["window_start"]), r["event_type"], r["n"])
     assert sorted(map(key, spark.sql("select * from docframe_windows").collect())) == sorted(map(key, flows.windowed(events).collect()))
     assert flows.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_figures_of_many_pages_need_no_call_a_page(spark):
+    """Image by image in order of names: a takes the caption that is nearest to it, b the one that is left, c none; pages stay in the JVM."""
+    captions = [(0, "Figure 1: one", 10.0, 110.0), (1, "Figure 2: two", 10.0, 130.0)]
+    rows = spark.createDataFrame([(d, 1, i, text, x, y, 50.0, 10.0) for d in range(3) for i, text, x, y in captions], "doc_id long, page_number int, frag_idx int, text string, x double, y double, width double, height double")
+    images = spark.createDataFrame([(d, 1, n, 10.0, y, 50.0, 100.0) for d in range(3) for n, y in (("b", 8.0), ("a", 0.0), ("c", 5.0))], "doc_id long, page_number int, name string, x double, y double, width double, height double")
+    found = layout.figures(rows, images)
+    assert sorted((r["doc_id"], r["name"], r["kind"], r["caption"]) for r in found.collect()) == [(d, n, k, c) for d in range(3) for n, k, c in (("a", "figure", "Figure 1: one"), ("b", "figure", "Figure 2: two"), ("c", "image", None))]
+    assert "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
