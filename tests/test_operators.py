@@ -140,3 +140,14 @@ def test_figures_of_many_pages_need_no_call_a_page(spark):
     found = layout.figures(rows, images)
     assert sorted((r["doc_id"], r["name"], r["kind"], r["caption"]) for r in found.collect()) == [(d, n, k, c) for d in range(3) for n, k, c in (("a", "figure", "Figure 1: one"), ("b", "figure", "Figure 2: two"), ("c", "image", None))]
     assert "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topic_links_count_the_pairs(spark):
+    """Sets of one to five topics: as many links as the pairs that are made one by one, and no pair is made."""
+    rng = random.Random(5)
+    rows = [(d, t) for d in range(150) for t in rng.sample("abcdefghijkl", rng.choice([1, 1, 2, 3, 4, 5, 5]))]
+    found = spark.createDataFrame(rows, "doc_id long, topic string")
+    for least in (0.2, 0.5):
+        ends = [e for r in corpus.topic_pairs(found, least).collect() for e in (r["a"], r["b"])]
+        got = corpus.topic_links(found, least).collect()
+        assert len(got) == 150 and all(r["links"] == ends.count(r["class_id"]) for r in got) and sum(r["links"] for r in got) > 0
