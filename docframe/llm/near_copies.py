@@ -4,9 +4,9 @@ Texts of one set of shingles are one node, with one fingerprint. Candidates are,
 RADIUS bits, by the fingerprints' grid join. Sets of a similarity of 0.8 differ in about ten bits of 64, and at such a radius the counts of
 segments tell hardly any pair apart (about one pair in twenty would be a candidate). So, second, nodes that share at least one of BANDS keys, each made of
 ROWS minima of the set under different hash functions: a pair of similarity 0.8 has none in common with a probability of 3 in a million.
-In a group of one key each node is compared with two representatives (the smallest node, and the one that shares most keys with all others), not with
-all members, so that groups of any size give as many candidates as they have members; a pair that is near each other, but near no
-representative in any of its groups, is missed. Every candidate is verified with the two whole sets, so that a link is exact.
+In a group of one key each node is first compared with two representatives (the smallest node, and the one that shares most keys with all others).
+Then all pairs of a group whose nodes are not in one component yet are compared, so that no pair of a group is lost: large groups of
+near-copies have become one component by then. Every candidate is verified with the two whole sets, so that a link is exact.
 
 Defined cases: words are runs without ASCII white space, A-Z lower-cased; a text of fewer than `shingle` words is one shingle;
 texts without words (null, empty, blank) are copies of each other; rows without a doc_id link others, but stay themselves;
@@ -80,11 +80,28 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """a, b: candidate pairs of nodes whose sets have a similarity of at least `least`. nodes: those of docs, as _nodes() gives them."""
+    """a, b: candidate pairs of nodes whose sets have a similarity of at least `least`; only pairs of nodes that other links join already may be left out. nodes: those of docs, as _nodes() gives them."""
     each = nodes.dropDuplicates(["node"])
     rows = each.select("node", F.explode("bands").alias("key"))
-    candidates = _to_representatives(rows).unionByName(_grid_pairs(each.filter("n > 0").select("node", "fp")))
-    pairs = materialize(candidates.distinct(), "near-candidates")
+    first = materialize(_to_representatives(rows).unionByName(_grid_pairs(each.filter("n > 0").select("node", "fp"))).distinct(), "near-candidates")
+    found = materialize(_verified(docs, nodes, first, shingle, least), "near-links")
+    rest = materialize(_apart(rows, connected_components(found)).join(first, ["a", "b"], "left_anti"), "near-rest")
+    return found.unionByName(_verified(docs, nodes, rest, shingle, least))
+
+
+def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: all pairs of nodes that share a key (rows: node, key) and have different roots (roots: node, root; others are their own)."""
+    shared = rows.join(rows.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").select("key"), "key")
+    placed = materialize(shared.join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-placed")
+    # groups that lie in one component have no such pair
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    left = placed.join(open_keys, "key")
+    one, two = left.select("key", F.col("node").alias("a"), F.col("root").alias("a_root")), left.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"))
+    return one.join(two, "key").filter("a < b AND a_root <> b_root").select("a", "b").distinct()
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets have a similarity of at least `least`."""
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # one row of docs stands for each node that is in a candidate pair: by its id, or by its text where it has none
     first = nodes.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(met, "node")

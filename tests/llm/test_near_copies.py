@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from docframe.llm import near_copies
 
@@ -62,3 +63,13 @@ def test_planted_chain_and_odd_rows(spark, odd, empty):
     assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == survivors(rows)[0]
     assert kept.filter("doc_id is null").count() == sum(d is None for d, _ in rows)
     assert near_copies.keep_one_of_each(empty).isEmpty()
+
+
+def test_no_pair_of_a_group_is_lost(spark):
+    """Four pairs of near copies in one group of one key: at most two of them hold one of the group's representatives."""
+    texts = [" ".join(f"w{f}x{i}" for i in range(60)) + tail for f in range(4) for tail in (" end", " fin")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = near_copies._nodes(docs, 5).withColumn("bands", F.array(F.lit(1).cast("long"))).withColumn("fp", F.xxhash64("node"))
+    nodes = near_copies.materialize(nodes, "test-nodes")
+    names = {r["node"]: r["doc_id"] for r in nodes.collect()}
+    assert sorted(sorted((names[r["a"]], names[r["b"]])) for r in near_copies.links(docs, nodes).collect()) == [[0, 1], [2, 3], [4, 5], [6, 7]]
