@@ -13,7 +13,7 @@ MATH = "".join(LATEX) + "=+<>−∓⊗⊕∼∝"
 
 
 def math_signs(text: Column) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, f"[{MATH}]", ""))
+    return F.length(text) - F.length(F.translate(text, MATH, ""))
 
 
 def is_formula(text: Column, math_font: Column | None = None) -> Column:

@@ -51,3 +51,12 @@ def test_radicals_and_limits(spark):
 def test_no_formulas(spark):
     frags, rules, sizes = pages(spark, {1: ([("a", 1, 1)], [(0, 5, 5)])})
     assert formulas.fractions(frags.limit(0), rules, sizes).count() == formulas.fractions(frags, rules.limit(0), sizes).count() == formulas.matrices(frags.limit(0)).count() == 0
+
+
+def test_signs_are_counted_without_a_pattern(spark):
+    """Every text is read for its signs, so they are counted by one pass over its characters."""
+    from docframe.functions.formulas import math_signs
+
+    rows = spark.createDataFrame([("a = b + \u00b1c",), ("none [^-]",), ("",), (None,)], "t string").select(math_signs(F.col("t")).alias("n"))
+    assert [r["n"] for r in rows.collect()] == [3, 0, 0, None]
+    assert "regexp" not in rows._jdf.queryExecution().toString()
