@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+DOCS_AT_ONCE = 256
 CHUNKS = "doc_id long, chunk_id int, content string, page_numbers array<int>, token_count int, importance double"
 
 
@@ -46,11 +47,13 @@ def chunk_texts(docs: DataFrame, size: int = 500, overlap: int = 50, *, separato
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                fragments = [(1, p) for p in (text or "").split(separator) if p.strip()]
-                rows += [(doc_id, k, *c) for k, c in enumerate(fold(fragments, size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "content", "page_numbers", "token_count", "importance"])
+            # a batch's chunks are given in parts, so that they do not lie in memory together with all its texts
+            for first in range(0, max(1, len(batch)), DOCS_AT_ONCE):
+                part, rows = batch.iloc[first : first + DOCS_AT_ONCE], []
+                for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+                    fragments = [(1, p) for p in (text or "").split(separator) if p.strip()]
+                    rows += [(doc_id, k, *c) for k, c in enumerate(fold(fragments, size, overlap))]
+                yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "content", "page_numbers", "token_count", "importance"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInPandas(run, CHUNKS)
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -244,13 +245,19 @@ def text_width(text: Column, size: Column) -> Column:
     return (F.length(text) + wide) * size * 0.5
 
 
+TEXTS_AT_ONCE = 256  # texts that a provider is given at a time
+
+
 def embed(chunks: DataFrame, provider, dimensions: int, text: str = "content") -> DataFrame:
     """Adds embedding. provider: a function from a list of texts to as many vectors, which is called for batches inside of tasks."""
     def run(texts: pd.Series) -> pd.Series:
-        found = provider([t or "" for t in texts])
-        if any(len(v) != dimensions for v in found):
-            raise ValueError(f"the provider must give vectors of {dimensions} numbers")
-        return pd.Series([[float(x) for x in v] for v in found])
+        kept: list[np.ndarray] = []
+        for first in range(0, len(texts), TEXTS_AT_ONCE):
+            found = provider([t or "" for t in texts.iloc[first : first + TEXTS_AT_ONCE]])
+            if any(len(v) != dimensions for v in found):
+                raise ValueError(f"the provider must give vectors of {dimensions} numbers")
+            kept += [np.asarray(v, np.float64) for v in found]
+        return pd.Series(kept)
 
     return chunks.withColumn("embedding", F.pandas_udf(run, ArrayType(DoubleType()))(F.col(text)))
 

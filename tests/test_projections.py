@@ -73,3 +73,13 @@ def test_identifiers_of_odd_texts(spark):
     docs = spark.createDataFrame([(1, "doi:10.1234/x.7, 10.1234/x.7 and arXiv:2101.00007; PMID: 12"), (2, None), (3, ""), (4, "none")], "doc_id long, text string")
     got = sorted(tuple(r) for r in pj.identifiers(docs).collect())
     assert [(d, k) for d, k, _ in got] == [(1, "arxiv"), (1, "doi"), (1, "pmid")]
+
+
+def test_a_provider_is_given_few_texts_at_a_time(spark):
+    """Vectors of a whole batch of texts don't lie in memory as lists of numbers."""
+    def provider(texts):
+        assert len(texts) <= 256
+        return [[float(len(t)), 1.0] for t in texts]
+
+    rows = spark.range(1000).coalesce(1).select(F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("content"))
+    assert all(r["embedding"] == [float(len(r["content"])), 1.0] for r in pj.embed(rows, provider, 2).collect())
