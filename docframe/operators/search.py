@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from docframe.functions.text import tokens
 from docframe.functions.vectors import cosine
 
+SLAB = 64  # queries that are scored at once
+
 
 def postings(chunks: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
     """term, keys: each term once for each row that has it."""
@@ -97,51 +99,53 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, *, key: str = "
     return found.orderBy(F.desc(F.round("score", 6)), key).limit(k)
 
 
-def _packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """(gid, dims, ids, units: rows of `key` and `vector` in blocks of about `size`, by a hash of the key and by length; how many values gid has)."""
-    parts = max(1, -(-rows.count() // size))
-
-    def pack(table: pa.Table) -> pa.Table:
-        ids = table.column("key").to_numpy()
-        units = _unit(np.array(table.column("vector").to_pylist(), dtype=np.float64).reshape(len(ids), -1))
-        sound = ~np.isnan(units).any(axis=1)
-        row = [table.column("gid")[0].as_py(), table.column("dims")[0].as_py(), ids[sound].tobytes(), units[sound].tobytes()]
-        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["gid", "dims", "ids", "units"])
-
-    gid = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("long")
-    return rows.select(gid.alias("gid"), F.size("vector").alias("dims"), "key", "vector").groupBy("gid", "dims").applyInArrow(pack, "gid long, dims int, ids binary, units binary"), parts
-
-
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, *, key: str = "vec_id", column: str = "embedding", block: int = 1024) -> DataFrame:
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, *, key: str = "vec_id", column: str = "embedding", block: int = 16384) -> DataFrame:
     """query_id, key, score: for each row of queries (keys are distinct) the k rows of largest cosine; ties by key.
 
-    Rows of another length, or with nulls, are dropped; so are those without a direction because a component is not finite. Queries are
-    packed into blocks of about `block`, rows into blocks four times as large; each block of queries goes to each block of rows, and a pair
-    of blocks keeps k rows for each query.
+    Rows of another length, or with nulls, are dropped; so are those without a direction because a component is not finite. Rows are dealt by
+    a hash of their key into blocks of about `block`, and each query goes to each block. A task reads a block's rows, then its queries as a
+    stream, and keeps k rows for each query and block: Python holds one block, one batch of vectors and the scores of SLAB queries.
     """
     sound = lambda df: df.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("vector")).filter("key is not null and vector is not null and not exists(vector, x -> x is null)")
-    rows, parts = _packed(sound(vectors), 4 * block)
-    asked, _ = _packed(sound(queries), block)
-    sent = asked.select("dims", F.col("ids").alias("q_ids"), F.col("units").alias("q_units"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("gid"))
+    rows, asked = sound(vectors), sound(queries)
+    parts = max(1, -(-rows.count() // block))
+    dealt = rows.select(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("long").alias("gid"), F.size("vector").alias("dims"), F.lit(0).alias("asked"), "key", "vector")
+    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("gid"), F.size("vector").alias("dims"), F.lit(1).alias("asked"), "key", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, units = None, np.zeros(0, np.int64), []
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids, q_ids = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("ids", "q_ids"))
-                if not len(ids) or not len(q_ids):
-                    continue
-                units, q_units = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(n, -1) for c, n in (("units", len(ids)), ("q_units", len(q_ids))))
-                scores = q_units @ units.T
-                rounded, most = np.round(scores, 6), min(k, len(ids))
-                bars = -np.partition(-rounded, most - 1, axis=1)[:, most - 1]
-                best = [reach[np.lexsort((ids[reach], -r[reach]))[:k]] for r, reach in ((r, np.flatnonzero(r >= bar)) for r, bar in zip(rounded, bars, strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(x) for x in best])), pa.array(np.concatenate([ids[x] for x in best])), pa.array(np.concatenate([scores[j][x] for j, x in enumerate(best)]))], ["query_id", key, "score"])
-
-    kept = sent.join(rows, ["gid", "dims"]).select("ids", "units", "q_ids", "q_units").mapInArrow(run, f"query_id long, {key} long, score double")
+            marks = np.column_stack([batch.column(c).to_numpy() for c in ("gid", "dims", "asked")])
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                gid, dims, is_asked = marks[a].tolist()
+                if (gid, dims) != at:
+                    at, ids, units = (gid, dims), np.zeros(0, np.int64), []
+                own = batch.column("key").slice(a, b - a).to_numpy()
+                found = _unit(batch.column("vector").slice(a, b - a).flatten().to_numpy().reshape(b - a, dims))
+                good = ~np.isnan(found).any(axis=1)
+                own, found = own[good], found[good]
+                if not is_asked:
+                    ids, units = np.concatenate((ids, own)), [*units, found]
+                elif len(ids):
+                    units = units if len(units) == 1 else [np.concatenate(units)]
+                    for n in range(0, len(own), SLAB):
+                        yield _best(own[n : n + SLAB], found[n : n + SLAB], ids, units[0], k, key)
+
+    kept = dealt.unionByName(sent).repartition("gid").sortWithinPartitions("gid", "dims", "asked").select("gid", "dims", "asked", "key", "vector").mapInArrow(run, f"query_id long, {key} long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), key))
     return kept.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", key, "score")
 
 
+def _best(q_ids: np.ndarray, q_units: np.ndarray, ids: np.ndarray, units: np.ndarray, k: int, key: str) -> pa.RecordBatch:
+    """query_id, key, score: of each query the k rows of largest rounded score; ties by key."""
+    scores = q_units @ units.T
+    rounded, most = np.round(scores, 6), min(k, len(ids))
+    bars = np.partition(rounded, len(ids) - most, axis=1)[:, len(ids) - most]
+    best = [reach[np.lexsort((ids[reach], -r[reach]))[:k]] for r, reach in ((r, np.flatnonzero(r >= bar)) for r, bar in zip(rounded, bars, strict=True))]
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(x) for x in best])), pa.array(np.concatenate([ids[x] for x in best])), pa.array(np.concatenate([scores[j][x] for j, x in enumerate(best)]))], ["query_id", key, "score"])
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     """Rows by their norms; zeros stay zeros."""
     norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))

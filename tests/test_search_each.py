@@ -25,3 +25,11 @@ def test_registered_search_takes_every_fiftieth(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     found = catalog.nearest_to_each(spark, "/root/testdata/sf0.01").groupBy("query_id").count().collect()
     assert len(found) == vectors.filter("vec_id % 50 = 0").count() and all(r["count"] == 20 for r in found)
+
+
+def test_python_gets_single_vectors_not_joined_blocks(spark):
+    vectors = spark.range(1, 301).selectExpr("id as vec_id", "array(1.0D, cast(id as double)) as embedding")
+    found = search.nearest_each(vectors, vectors.filter("vec_id % 50 = 0"), 3, block=40)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "units" not in plan
+    assert found.count() == 18
