@@ -14,12 +14,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from docframe.functions.text import style_hides
 from docframe.sources.readers import unescape, unescape_xml
+from docframe.sources.sinks import written
 
 # Elements without content, elements that end a paragraph, and what a tag says about its text.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
@@ -156,18 +159,20 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     """tokens() with the number of open lists (lists), the level of the heading that it lies in or 0 (heading), the attributes of its link (link), the place of the nearest open element of each scope (in_<scope>, -1: none) and the style in force at the token."""
     found = tokens(pages, key, html)
     styled = found.join(element_styles(found, style_rules(pages, key, html), key), [key, "at"], "left")
-    columns = ["lists", "heading", "link", *[f"in_{s}" for s in SCOPES], *STYLES]
     kind = dict(styled.dtypes)[key]
-    schema = f"{key} {kind}, at int, kind string, tag string, attrs string, text string, lists int, heading int, link string, " + ", ".join([*[f"in_{s} int" for s in SCOPES], *[f"{s} boolean" for s in STYLES]])
+    fields = f"{key} {kind}, at int, kind string, tag string, attrs string, text string, lists int, heading int, link string, " + ", ".join([*[f"in_{s} int" for s in SCOPES], *[f"{s} boolean" for s in STYLES]])
+    schema = to_arrow_schema(StructType.fromDDL(fields))
+    given = schema.names[:6]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = _OpenElements()
         for batch in batches:
-            own = batch[STYLES].astype(object)
-            found = state.follow(batch[key].tolist(), batch["at"].tolist(), batch["kind"].tolist(), batch["tag"].tolist(), batch["attrs"].tolist(), own.where(own.notna(), None).values.tolist())
-            yield pd.concat([batch.drop(columns=STYLES), pd.DataFrame(found, columns=columns, index=batch.index)], axis=1)
+            styles = list(zip(*(batch.column(s).to_pylist() for s in STYLES), strict=True))
+            made = state.follow(*(batch.column(c).to_pylist() for c in given[:5]), styles)
+            columns = zip(*made, strict=True) if made else [()] * (len(schema) - len(given))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(schema.field(c).type) for c in given), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[len(given) :], strict=True))], schema=schema)
 
-    return styled.select(key, "at", "kind", "tag", "attrs", "text", *STYLES).repartition(key).sortWithinPartitions(key, "at").mapInPandas(run, schema)
+    return styled.select(*given, *STYLES).repartition(key).sortWithinPartitions(key, "at").mapInArrow(run, fields)
 
 
 def _in_document(rows: DataFrame) -> DataFrame:
@@ -208,6 +213,7 @@ def blocks(found: DataFrame, key: str = "page_id") -> DataFrame:
 
 def list_items(found: DataFrame, key: str = "page_id") -> DataFrame:
     """key, list, item (places of their tags), parent_item (of the item that the list lies in, or -1), depth from 1, ordered, number, checked (of a task, else null), text (of the item without the lists in it)."""
+    found = written(found)
     lists = found.filter("kind = 'open' and tag in ('ul', 'ol')").select(key, F.col("at").alias("list"), F.col("in_item").alias("parent_item"), (F.col("lists") + 1).alias("depth"), (F.col("tag") == "ol").alias("ordered"), F.coalesce(attribute(F.col("attrs"), "start").try_cast("bigint"), F.lit(1)).alias("start"))
     after = Window.partitionBy(key).orderBy("at")
     box = (F.lead("tag").over(after) == "input") & (F.lower(attribute(F.lead("attrs").over(after), "type")) == "checkbox")
@@ -237,6 +243,7 @@ def _columns(rows: list[tuple[int, int, int]]) -> list[int]:
 
 def cells(found: DataFrame, key: str = "page_id") -> DataFrame:
     """key, table, row, col, row_span, col_span, is_header, caption, text: spans at least 1 and at most 1,000; rows without cells don't count; a header row lies in thead or has only th, from the first row on."""
+    found = written(found)
     opened = found.filter("kind = 'open' and tag in ('td', 'th') and in_table >= 0 and in_row > in_table")
     span = lambda name: F.least(F.lit(1000), F.greatest(F.lit(1), F.coalesce(attribute(F.col("attrs"), name).try_cast("int"), F.lit(1))))
     rows = opened.select(key, F.col("at").alias("cell"), F.col("in_table").alias("table"), F.col("in_row"), (F.col("tag") == "th").alias("th"), (F.col("in_thead") > F.col("in_table")).alias("head"), span("rowspan").alias("row_span"), span("colspan").alias("col_span"))
@@ -245,7 +252,7 @@ def cells(found: DataFrame, key: str = "page_id") -> DataFrame:
     rows = rows.withColumn("headed", F.min(F.col("th") | F.col("head")).over(whole))
     until = Window.partitionBy(key, "table").orderBy("row").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("is_header", F.min("headed").over(until))
-    said = blocks(found, key)
+    said = written(blocks(found, key).filter("in_cell >= 0 or kind = 'caption'"))
     texts = said.filter("in_cell >= 0").groupBy(key, F.col("in_cell").alias("cell")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "text"))), lambda b: b["text"]), "\n").alias("text"))
     captions = said.filter("kind = 'caption'").groupBy(key, F.col("in_table").alias("table")).agg(F.min_by("text", "block").alias("caption"))
     rows = rows.join(texts, [key, "cell"], "left").join(captions, [key, "table"], "left").withColumn("text", F.coalesce("text", F.lit("")))

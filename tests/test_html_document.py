@@ -96,3 +96,11 @@ def test_references_need_their_semicolon(spark):
     want = ["a & b&amp", "&copyright; © &#65 B &lt&nope; &lt;"]
     assert [r["text"] for r in readers.html_blocks(pages, "html", "page_id").orderBy("block").collect()] == want
     assert [r["text"] for r in hd.blocks(hd.nodes(pages)).orderBy("block").collect()] == want
+
+
+def test_lists_and_cells_follow_tokens_once(spark):
+    pages = spark.createDataFrame([(1, "<ul><li>a<ol><li>b</ol></ul><table><caption>c</caption><tr><td>d<td>e</table>")], "page_id long, html string")
+    for found in (hd.list_items(hd.nodes(pages)), hd.cells(hd.nodes(pages))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and "MapInPandas" not in plan  # tokens are read from where they were written
+        assert found.count() == 2
