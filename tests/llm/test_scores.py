@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docframe.llm import context_mixing, near_copies, quality, spelling, toxicity, training, word_bits
@@ -311,3 +312,14 @@ def test_buckets_of_words_do_not_depend_on_their_company() -> None:
     inner = toxicity.buckets_of(["xxabcdyy", "zabcdz"])
     assert set(inner[0, -5:].tolist()) & set(inner[1, -5:].tolist()) - {-1}
     assert toxicity.buckets_of([]).shape[0] == 0
+
+
+def test_every_training_document_and_word_is_fitted(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta{i} alpha alpha") for i in range(6)], "doc_id long, text string").withColumn("out", F.lit(False))
+    skipped = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)) != 0)  # those that a share of one in 16 left out
+    code = word_bits.WordCode(np.zeros(0, np.uint64), np.zeros(0), 6, np.ones(word_bits.KINDS))
+    start, found = word_bits.Mixer.fresh(np.zeros((2, 1 << 12, 2), np.uint16)), context_mixing.train_words(skipped, code, 24)
+    assert skipped.count() > 0 and not np.array_equal(found.weights, start.weights)
+    words = spark.createDataFrame([(i, 0, f"word{i}".encode(), 1) for i in range(6)], "hash long, kind int, word binary, trained long").filter(F.pmod(F.xxhash64("hash"), F.lit(16)) != 0)
+    speller = context_mixing.train_spelling(words, 6)
+    assert not np.array_equal(speller.weights, spelling.Speller.fresh(speller.counts).weights)
