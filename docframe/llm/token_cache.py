@@ -67,6 +67,10 @@ class CachedEncoder:
         return array("I", [t.id for w in words for t in self._merge(w)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(x, dtype="<u4") for x in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """Of each text the ids as little-endian unsigned 32-bit integers."""
         out = []
         for text in texts:
             pieces = self._pieces(text)
@@ -83,7 +87,7 @@ class CachedEncoder:
                         if piece not in self._cache:
                             self._cache[piece] = self._piece(piece)
                     found = b"".join(map(self._cache.__getitem__, pieces))
-            out.append(np.frombuffer(found, dtype="<u4"))
+            out.append(found)
         return out
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import list_array, text_chunks, texts_of
+from docframe.llm.shared import text_chunks, texts_of
 from docframe.llm.token_cache import encoder
 
 STORED = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
@@ -31,15 +31,16 @@ def write_token_table(docs: DataFrame, tokenizer: str, path: str, end_id: int, *
     """Encode every whole text and write its ids with end_id after them. `tokenizer`: a tokenizers file that executors can read."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start = TaskContext.get().partitionId(), 0
+        part, start, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for first, texts in text_chunks(batch):
-                ids = [np.append(x, np.uint32(end_id)).astype(np.int32) for x in encoder(tokenizer).encode(texts)]
-                sizes = np.array([len(x) for x in ids], dtype=np.int64)
+                found = encoder(tokenizer).encode_bytes(texts)
+                sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4 + 1
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.frombuffer(end.join([*found, b""]), "<i4")))
                 starts = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(texts)), pa.array(np.full(len(texts), part, np.int32)), pa.array(starts), pa.array(sizes.astype(np.int32)), list_array(ids, pa.int32())],
+                    [batch.column("doc_id").slice(first, len(texts)), pa.array(np.full(len(texts), part, np.int32)), pa.array(starts), pa.array(sizes.astype(np.int32)), ids],
                     ["doc_id", "part", "start_in_part", "n_tokens", "ids"],
                 )
 

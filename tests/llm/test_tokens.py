@@ -147,3 +147,15 @@ def test_encode_decode_rows(odd, empty):
     plain = {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.encode_decode(odd, WORD).filter("doc_id = 6").collect()}
     assert plain[6] == (ids(WORD, "the same five words here"), LIBRARY[WORD].decode(ids(WORD, "the same five words here"), skip_special_tokens=False))
     assert bpe.encode_decode(empty, WORD).isEmpty()
+
+
+def test_encoded_bytes_are_the_ids():
+    from docframe.llm.token_cache import CachedEncoder
+
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), ["", "One two  three", "naïve Ünïcode 数", "a <|b|>"]
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    found = CachedEncoder(path).encode_bytes(texts)
+    assert [[int.from_bytes(x[i : i + 4], "little") for i in range(0, len(x), 4)] for x in found] == want
