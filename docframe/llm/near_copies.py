@@ -5,8 +5,9 @@ RADIUS bits, by the fingerprints' grid join. Sets of a similarity of 0.8 differ
 segments tell hardly any pair apart (about one pair in twenty would be a candidate). So, second, nodes that share at least one of BANDS keys, each made of
 ROWS minima of the set under different hash functions: a pair of similarity 0.8 has none in common with a probability of 3 in a million.
 In a group of one key each node is first compared with two representatives (the smallest node, and the one that shares most keys with all others).
-Then all pairs of a group whose nodes are not in one component yet are compared, so that no pair of a group is lost: large groups of
-near-copies have become one component by then. Every candidate is verified with the two whole sets, so that a link is exact.
+Then the nodes of groups that links have not made one component are joined on the rare hashes of their sets, by an exact bound that no pair of
+similarity 0.8 fails, so that no pair of a group is lost and a large group is not paired with itself. Every candidate is verified with
+the two whole sets, so that a link is exact.
 
 Defined cases: words are runs without ASCII white space, A-Z lower-cased; a text of fewer than `shingle` words is one shingle;
 texts without words (null, empty, blank) are copies of each other; rows without a doc_id link others, but stay themselves;
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docframe.llm.components import connected_components
@@ -84,31 +85,55 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, least: floa
     each = nodes.dropDuplicates(["node"])
     rows = each.select("node", F.explode("bands").alias("key"))
     first = materialize(_to_representatives(rows).unionByName(_grid_pairs(each.filter("n > 0").select("node", "fp"))).distinct(), "near-candidates")
-    found = materialize(_verified(docs, nodes, first, shingle, least), "near-links")
-    rest = materialize(_apart(rows, connected_components(found)).join(first, ["a", "b"], "left_anti"), "near-rest")
-    return found.unionByName(_verified(docs, nodes, rest, shingle, least))
+    met = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = materialize(_verified(materialize(_sets(docs, nodes, met, shingle), "near-sets"), first, least), "near-links")
+    left = materialize(_unsettled(rows, connected_components(found)), "near-unsettled")
+    sets = materialize(_sets(docs, nodes, left.select("node"), shingle), "near-sets")
+    rest = materialize(_apart(sets.join(left, "node"), least).join(first, ["a", "b"], "left_anti"), "near-rest")
+    return found.unionByName(_verified(sets, rest, least))
 
 
-def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: all pairs of nodes that share a key (rows: node, key) and have different roots (roots: node, root; others are their own)."""
+def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root: nodes that share a key (rows: node, key) with a node of another root (roots: node, root; others are their own)."""
     shared = rows.join(rows.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").select("key"), "key")
     placed = materialize(shared.join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-placed")
-    # groups that lie in one component have no such pair
     open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    left = placed.join(open_keys, "key")
-    one, two = left.select("key", F.col("node").alias("a"), F.col("root").alias("a_root")), left.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"))
-    return one.join(two, "key").filter("a < b AND a_root <> b_root").select("a", "b").distinct()
-
-
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a similarity of at least `least`."""
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one row of docs stands for each node that is in a candidate pair: by its id, or by its text where it has none
+    return placed.join(open_keys, "key").select("node", "root").distinct()
+
+
+def _apart(sets: DataFrame, least: float) -> DataFrame:
+    """a, b: pairs of nodes of different roots, among them all of a similarity of at least `least` (sets: node, root, hashes).
+
+    A set's hashes stand in one order for all sets: those of one root alone, which no such pair shares, then the others, rare ones first. Two
+    sets of n and m hashes share at least least / (1 + least) * (n + m), so that the first hash that they share stands early enough in both
+    to leave as many. That is the join's condition: a passage that many texts share stands late in their sets and pairs none of them.
+    In each hash the nodes outside of its most frequent root meet all others, so nodes that one component holds never meet.
+    """
+    rows = sets.select("node", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    common = rows.groupBy("hash").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("hash", "held")
+    own = Window.partitionBy("node")
+    ranked = rows.join(common, "hash").withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "hash")))
+    early = materialize(ranked.filter(F.col("n") - F.col("place") + 1 >= least * F.col("n") - ROUNDING).select("hash", "node", "root", "n", "place"), "near-early")
+    roots = early.groupBy("hash").agg(F.mode("root").alias("main"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("hash", "main")
+    met = early.join(roots, "hash")
+    few, all_nodes = met.filter("root <> main").alias("f"), met.alias("e")
+    once = (F.col("f.root") != F.col("e.root")) & ((F.col("e.root") == F.col("e.main")) | (F.col("f.node") < F.col("e.node")))
+    left = 1 + F.least(F.col("f.n") - F.col("f.place"), F.col("e.n") - F.col("e.place"))
+    enough = left * (1 + least) >= least * (F.col("f.n") + F.col("e.n")) - ROUNDING
+    pairs = few.join(all_nodes, (F.col("f.hash") == F.col("e.hash")) & once & enough)
+    return pairs.select(F.least("f.node", "e.node").alias("a"), F.greatest("f.node", "e.node").alias("b")).distinct()
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int) -> DataFrame:
+    """node, hashes of the nodes in met (node, each once). One row of docs stands for each: by its id, or by its text where it has none."""
     first = nodes.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(met, "node")
     named = _set_rows(docs.filter("doc_id is not null"), first, shingle)
-    lost = met.join(first, "node", "left_anti")
-    unnamed = _set_rows(docs.filter("doc_id is null"), lost, shingle)
-    sets = materialize(named.unionByName(unnamed).dropDuplicates(["node"]), "near-sets")
+    unnamed = _set_rows(docs.filter("doc_id is null"), met.join(first, "node", "left_anti"), shingle)
+    return named.unionByName(unnamed).dropDuplicates(["node"])
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets (node, hashes) have a similarity of at least `least`."""
     one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_set")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     found = pairs.join(one, "a").join(two, "b").withColumn("both", both)

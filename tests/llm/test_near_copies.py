@@ -73,3 +73,32 @@ def test_no_pair_of_a_group_is_lost(spark):
     nodes = near_copies.materialize(nodes, "test-nodes")
     names = {r["node"]: r["doc_id"] for r in nodes.collect()}
     assert sorted(sorted((names[r["a"]], names[r["b"]])) for r in near_copies.links(docs, nodes).collect()) == [[0, 1], [2, 3], [4, 5], [6, 7]]
+
+
+def test_a_large_group_is_not_paired_with_itself(spark):
+    """Sixty texts that share over half of their words and one key, of which two alone are near copies: one pair is compared, not 1,770."""
+    shared = [f"s{i}" for i in range(70)]
+    texts = [" ".join([*shared, *(f"t{k}x{i}" for i in range(50))]) for k in range(59)]
+    texts.append(texts[7] + " end")
+    sets = {k: near_copies.shingle_set(t) for k, t in enumerate(texts)}
+    rows = spark.createDataFrame([(k, k, s.view("int64").tolist()) for k, s in sets.items()], "node long, root long, hashes array<long>")
+    assert [(r["a"], r["b"]) for r in near_copies._apart(rows, 0.8).collect()] == [(7, 59)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = near_copies._nodes(docs, 5).withColumn("bands", F.array(F.lit(1).cast("long"))).withColumn("fp", F.xxhash64("node"))
+    nodes = near_copies.materialize(nodes, "test-nodes")
+    names = {r["node"]: r["doc_id"] for r in nodes.collect()}
+    assert [sorted((names[r["a"]], names[r["b"]])) for r in near_copies.links(docs, nodes).collect()] == [[7, 59]]
+
+
+def test_bound_loses_no_pair(spark):
+    """Random sets around the threshold, all of different roots: every pair of similarity 0.8 is a candidate."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = [rng.choice(1 << 40, 60, replace=False) for _ in range(3)]
+    sets = [np.unique(np.concatenate([rng.choice(base[k % 3], 60 - int(rng.integers(0, 14)), replace=False), rng.integers(0, 1 << 40, int(rng.integers(0, 8)))])) for k in range(90)]
+    rows = spark.createDataFrame([(k, k, s.tolist()) for k, s in enumerate(sets)], "node long, root long, hashes array<long>")
+    found = {(r["a"], r["b"]) for r in near_copies._apart(rows, 0.8).collect()}
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    want = {(i, j) for j in range(90) for i in range(j) if 5 * both(i, j) >= 4 * (len(sets[i]) + len(sets[j]) - both(i, j))}
+    assert want and want <= found
