@@ -4,8 +4,8 @@ For vocabularies of words with an end mark and lower case. A sequence of tokens
 exactly if each neighbouring pair is: merging the two tokens' symbols gives these two again. An
 Aho-Corasick automaton over the reversed tokens finds the longest token at each position of a word;
 the encoder takes it if the pair with the token before is compatible, tries shorter ones if it is not,
-and steps back if none is. Dead positions are marked, so a word takes linear time. Tokens of a word are
-kept by its text, within a bound.
+and steps back if none is. Dead positions are marked, so a word takes linear time. Tokens of words, and of the pieces between
+blanks, are kept by their texts, within bounds; frequent ones stay when a bound is reached.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; special tokens' strings
 in a text become their ids, as the library does; code points that Unicode assigned only lately may count as letters here and not there; repeated rows give equal rows; other columns are ignored.
@@ -25,10 +25,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from docframe.llm.shared import list_array, text_chunks, texts_of
+from docframe.llm.shared import Kept, list_array, text_chunks, texts_of
 
 _END = "\ue000"  # stands for the end mark inside symbol strings; byte symbols never use it
-_WORDS_KEPT = 300_000
+_PIECES_KEPT, _WORDS_KEPT = 1_000_000, 600_000
 _PAIRS_KEPT = 1_000_000
 
 
@@ -90,7 +90,8 @@ class BacktrackingBpe:
         self._automaton.make_automaton()
         self._shorter = {i: self._id.get(self._prefix(text)) for text, i in self._id.items()}
         self._fits: dict[tuple[int, int], bool] = {}
-        self._known: dict[str, bytes] = {}
+        self._known = Kept(lambda pieces, _: {p: self._piece(p) for p in pieces}, _PIECES_KEPT)
+        self._merged = Kept(lambda words, _: {w: self._ids(w) for w in words}, _WORDS_KEPT)
         self.table = OffsetTable([x.encode() + b" " for x in self.strings])
         self.decimals = OffsetTable([b"%d " % i for i in range(len(self.strings))])
 
@@ -155,30 +156,21 @@ class BacktrackingBpe:
                 token = longest[at] if at < size else None
         return out
 
+    def _ids(self, word: str) -> bytes:
+        return np.array(self.word("".join([self._byte[b] for b in word.encode()]) + _END), dtype=np.int32).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        ids: list[int] = []
+        found: list[bytes] = []
         for k, part in enumerate(self._between.split(piece)):
             if k % 2:
-                ids.append(self._special[part])
+                found.append(self._special[part].to_bytes(4, "little"))
             elif part:
                 normal = part.lower() if part.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-                for word in self._words.findall(normal):
-                    ids += self.word("".join(self._byte[b] for b in word.encode()) + _END)
-        return np.array(ids, dtype=np.int32).tobytes()
+                found.append(self._merged.joined(self._words.findall(normal)))
+        return b"".join(found)
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = text.replace("\n", " ").split(" ")
-        known = self._known
-        try:
-            found = b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            distinct = set(pieces)
-            if len(known) + len(distinct) > _WORDS_KEPT:
-                known.clear()
-            for piece in [p for p in distinct if p not in known]:
-                known[piece] = self._piece(piece)
-            found = b"".join(map(known.__getitem__, pieces))
-        return np.frombuffer(found, dtype=np.int32)
+        return np.frombuffer(self._known.joined(text.replace("\n", " ").split(" ")), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return bytes(self.table.join(np.asarray(ids))[0][:-1]).decode()

@@ -39,6 +39,17 @@ def test_any_text_encodes_as_the_library_does(text):
     assert codec.decode(np.array(plain, np.int64)) == LIBRARY[WORD].decode(plain, skip_special_tokens=False)
 
 
+def test_a_word_is_merged_once_and_stays_while_rare_ones_go(monkeypatch):
+    codec, made = bpe.BacktrackingBpe(WORD), []
+    word = codec.word
+    monkeypatch.setattr(codec, "word", lambda symbols: made.append(symbols) or word(symbols))
+    codec._known._half, codec._merged._half = 8, 4
+    for k in range(60):
+        text = f"Zqxvorth, zqxvorth. zqxvorth{chr(97 + k % 26)}{chr(97 + k // 26)}"
+        assert codec.encode(text).tolist() == ids(WORD, text)
+    assert made.count("zqxvorth" + bpe._END) == 1
+
+
 def test_every_vocabulary_word_is_itself():
     codec = bpe.codec(WORD)
     by_symbol = {s: b for b, s in enumerate(codec._byte)}
