@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from docframe.llm import bpe, packing, token_store
-from docframe.llm.token_cache import encoder
+from docframe.llm.token_cache import CachedEncoder, encoder
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = {p: Tokenizer.from_file(p) for p in (WORD, BYTE)}
@@ -50,6 +50,16 @@ def test_a_word_is_merged_once_and_stays_while_rare_ones_go(monkeypatch):
     assert made.count("zqxvorth" + bpe._END) == 1
 
 
+def test_a_word_is_merged_once_whatever_marks_follow(monkeypatch):
+    spaced, made = CachedEncoder(BYTE), []
+    merge = spaced._merge
+    monkeypatch.setattr(spaced, "_merge", lambda symbols: made.append(symbols) or merge(symbols))
+    spaced._cache._half = 12
+    for text in ("a zqxvorth zqxvorth, zqxvorth. zqxvorth?!", *(f"it's zqxvorth, x{k}y don't 'zq' (éa), é\u0301! zqxvorth. b\nb" for k in range(60))):
+        assert spaced.encode([text])[0].tolist() == ids(BYTE, text)
+    assert made.count("Ġzqxvorth") == 1
+
+
 def test_every_vocabulary_word_is_itself():
     codec = bpe.codec(WORD)
     by_symbol = {s: b for b, s in enumerate(codec._byte)}
