@@ -87,7 +87,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, segments: int = 8) -
     probes = distinct.select(F.col("fp").alias("a"), _cell(F.col("fp"), segments).alias("own")).select("a", "own", F.explode(steps).alias("step"))
     probes = probes.select("a", (F.col("own") + F.col("step")).alias("cell"), (F.col("step") > 0).alias("other"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    met = probes.alias("p").join(cells.alias("c"), (F.col("p.cell") == F.col("c.cell")) & near & (F.col("p.other") | (F.col("a") < F.col("b"))))
+    # the steps make many probes of a row, which Spark doesn't count: without the hint it takes the probes for small and broadcasts them
+    met = probes.alias("p").hint("merge").join(cells.alias("c"), (F.col("p.cell") == F.col("c.cell")) & near & (F.col("p.other") | (F.col("a") < F.col("b"))))
     return met.select("a", "b")
 
 

@@ -124,3 +124,10 @@ def test_sketch_merge_and_containment(spark):
 def test_plan_has_no_python(spark, documents):
     plan = sketch.fingerprint_documents(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_probes_are_not_broadcast(spark):
+    """Each fingerprint has dozens of probes, which Spark takes for one: neither side of the grid join is sent to the driver."""
+    rows = simhash.materialize(spark.range(500).select(F.xxhash64("id").alias("fp")), "test-prints")
+    plan = simhash.fingerprint_links(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
