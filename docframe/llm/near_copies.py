@@ -83,7 +83,7 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """a, b: candidate pairs of nodes whose sets have a similarity of at least `least`; only pairs of nodes that other links join already may be left out. nodes: those of docs, as _nodes() gives them."""
     each = nodes.dropDuplicates(["node"])
-    rows = each.select("node", F.explode("bands").alias("key"))
+    rows = each.select("node", F.explode("bands").alias("key")).hint("merge")  # Spark takes the exploded rows for one a node, and would broadcast them
     first = materialize(_to_representatives(rows).unionByName(_grid_pairs(each.filter("n > 0").select("node", "fp"))).distinct(), "near-candidates")
     met = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     found = materialize(_verified(materialize(_sets(docs, nodes, met, shingle), "near-sets"), first, least), "near-links")
@@ -109,7 +109,7 @@ def _apart(sets: DataFrame, least: float) -> DataFrame:
     to leave as many. That is the join's condition: a passage that many texts share stands late in their sets and pairs none of them.
     In each hash the nodes outside of its most frequent root meet all others, so nodes that one component holds never meet.
     """
-    rows = sets.select("node", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    rows = sets.select("node", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("hash")).hint("merge")
     common = rows.groupBy("hash").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("hash", "held")
     own = Window.partitionBy("node")
     ranked = rows.join(common, "hash").withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "hash")))

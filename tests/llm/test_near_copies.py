@@ -108,3 +108,19 @@ def test_bound_loses_no_pair(spark):
     both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
     want = {(i, j) for j in range(90) for i in range(j) if 5 * both(i, j) >= 4 * (len(sets[i]) + len(sets[j]) - both(i, j))}
     assert want and want <= found
+
+
+def test_exploded_keys_and_hashes_are_not_broadcast(spark, monkeypatch):
+    """Spark takes a node's band keys and a set's hashes for one row each: their joins are sorted, whatever size it supposes."""
+    write, plans = near_copies.materialize, {}
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, i + 30))) for i in range(20)], "doc_id long, text string")
+    nodes = near_copies.materialize(near_copies._nodes(docs, 5), "test-nodes")
+    monkeypatch.setattr(near_copies, "materialize", seen)
+    near_copies.links(docs, nodes).collect()
+    for name, key in (("near-shared", "key"), ("near-early", "hash")):
+        assert f"SortMergeJoin [{key}#" in plans[name] and f"BroadcastHashJoin [{key}#" not in plans[name]
