@@ -10,7 +10,7 @@ from docframe.registry import QUERIES
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["open_workbook_cells", "word_document_blocks", "workbook_cells", "topic_pairs"])
+@pytest.mark.parametrize("name", ["open_workbook_cells", "word_document_blocks", "workbook_cells", "topic_pairs", "html_table_cells"])
 def test_no_side_is_broadcast(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
